@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe_core import PairTable, merge
-from .common import slices
+from .common import extended, slices
 
 #: Fixed value: the pattern that the byte-level pre-tokenizer splits text by; its
 #: white space is Unicode's White_Space.
@@ -143,9 +143,7 @@ def encode_documents(df: DataFrame, path: str, text: str = "text", digest: bool
     kinds = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
     keep = [c for c in own.columns if c != text]
     clean = own.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(text))
-    out = clean.schema
-    for c in added:
-        out = out.add(c, kinds[c])
+    out = extended(clean, **{c: kinds[c] for c in added})
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, text):

@@ -9,7 +9,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: White space as the contracts fix it: the ASCII space and \t \n \v \f \r.
 SPACES = " \t\n\x0b\x0c\r"
@@ -74,13 +75,21 @@ def hashed_unit(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
+_KINDS = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(), "array<int>": T.ArrayType(T.IntegerType())}
+
+
+def extended(df: DataFrame, **kinds: str) -> T.StructType:
+    """The schema of ``df`` with more columns."""
+    return T.StructType([*df.schema.fields, *[T.StructField(name, _KINDS[kind]) for name, kind in kinds.items()]])
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Cut Arrow batches into runs of rows with about ``limit`` bytes of text
     (a longer text stands alone) and hand out the texts as Python strings."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start = room = 0
         for i, n in enumerate(sizes):
             if i > start and room + n > limit:

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import flat
@@ -91,7 +92,7 @@ def signatures(df: DataFrame, doc_id: str, text: str, words: int, bands: int, wi
                             h = flat.mix(h * _GOLD + won[:, :, i])
                     size = np.bincount(rows, minlength=n)
                     full = size > 0
-                    missing = pa.compute.is_null(part.column(1)).to_numpy(zero_copy_only=False)
+                    missing = pc.is_null(part.column(1)).to_numpy(zero_copy_only=False)
                     ends = np.r_[0, np.cumsum(full * bands)].astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0), pa.array(k[0].view(np.int64), mask=missing), pa.array(k[1].view(np.int64), mask=missing), pa.array(size.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(h[full].view(np.int64).ravel()))],

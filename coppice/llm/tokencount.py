@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe_core import PairTable, merge
-from .common import slices
+from .common import extended, slices
 
 #: The letter that stands for a space inside pieces.
 BAR = "▁"
@@ -113,12 +114,12 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = 4096
     own = df.drop("n_bytes", "n_tokens", "over_limit")
     keep = [c for c in own.columns if c != text]
     clean = own.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(text))
-    out = own.select(*[F.col(f"`{c}`") for c in keep]).schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
+    out = extended(own.select(*[F.col(f"`{c}`") for c in keep]), n_bytes="long", n_tokens="long", over_limit="boolean")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, text):
             n = np.array(counter(path).run(texts), np.int64)
-            size = pa.compute.fill_null(pa.compute.binary_length(part.column(text)), 0).cast(pa.int64())
+            size = pc.fill_null(pc.binary_length(part.column(text)), 0).cast(pa.int64())
             columns = [part.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*columns, size, pa.array(n), pa.array(n > limit)], names=out.names)
 
