@@ -8,10 +8,10 @@ probability Jaccard similarity of their weighted shingles; bands of registers
 propose pairs, and the shingle sets of a proposed pair are compared exactly.
 
 No bucket is expanded into all its pairs. Texts with the same shingles are one
-member; then each bucket is compared with its smallest member, the links found
+member; then each bucket is compared with its central member, the links found
 are closed to classes, and only members of different classes are compared
-further. Large buckets go on with some leaders at a time, each of which leaves
-the bucket once it has been compared with all others.
+further, some leaders of a bucket at a time; a leader leaves the bucket once it
+has been compared with all members of other classes.
 """
 
 from __future__ import annotations
@@ -111,26 +111,36 @@ def similarities(pairs: DataFrame, texts: DataFrame, words: int, least: float) -
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, np.ndarray] = {}  # the sets of latest texts; an id may have several texts
+
+        def shingle_set(key: tuple, data: np.ndarray) -> np.ndarray:
+            if key not in seen:
+                if len(seen) >= 2000:
+                    seen.clear()
+                seen[key] = flat.shingles(*flat.words(data, np.array([0, len(data)])), words)[1]
+            return seen[key]
+
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            (x, xo), (y, yo) = flat.text_bytes(batch.column("x")), flat.text_bytes(batch.column("y"))
+            sides = [(batch.column(c).to_pylist(), *flat.text_bytes(batch.column(t))) for c, t in (("a", "x"), ("b", "y"))]
             for i in range(batch.num_rows):
-                sets = [flat.shingles(*flat.words(d[o[i] : o[i + 1]], np.array([0, o[i + 1] - o[i]])), words)[1] for d, o in ((x, xo), (y, yo))]
-                shared = len(np.intersect1d(*sets, assume_unique=True))
-                keep[i] = shared > 0 and shared >= least * (len(sets[0]) + len(sets[1]) - shared)
+                texts = [(ids[i], data[o[i] : o[i + 1]]) for ids, data, o in sides]
+                one, two = (shingle_set((key, len(d), d[-32:].tobytes()), d) for key, d in texts)
+                shared = len(np.intersect1d(one, two, assume_unique=True))
+                keep[i] = shared > 0 and shared >= least * (len(one) + len(two) - shared)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return both.mapInArrow(work, "a long, b long").distinct()
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, bands: int = 40, width: int = 6, small: int = 64, leaders: int = 32, seed: int = 1) -> DataFrame:
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, bands: int = 40, width: int = 8, small: int = 64, leaders: int = 32, seed: int = 1) -> DataFrame:
     """(doc_id, class_id, n_shingles) for every row of ``df``; class_id is the
     smallest doc_id of the row's class of near duplicates.
 
     Classes are the connected components of pairs whose sets of ``words``-word
     shingles have a Jaccard similarity of ``least`` or more, among the pairs that
-    share a band (at 0.8 a pair is missed with a chance of (1 - 0.8^6)^40, about
-    5e-6). White space separates words; case counts.
+    share a band (at 0.8 a pair is missed with a chance of (1 - 0.8^8)^40, about
+    6e-4, at 0.85 of 3e-6). White space separates words; case counts.
 
     A text of fewer than ``words`` words has one shingle, all its words. Texts
     without words are copies of each other; a null text is like no other; a null
@@ -143,14 +153,19 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     # Copies, and texts of the same shingles, are one member from here on.
     members = materialise(known.groupBy("k1", "k2", "n_shingles").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")), "members")
     held = members.select("rep", "n_shingles", F.explode("bands").alias("h"))
-    buckets = held.groupBy("h").agg(F.min("rep").alias("centre"), F.min_by("n_shingles", "rep").alias("centre_n"), F.count("*").alias("n")).where("n > 1")
-    held = materialise(held.join(buckets, "h"), "buckets")
+    held = materialise(held.join(held.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "h"), "shared")
+    # A bucket's centre is the member that meets most others in all its buckets: of
+    # copies of one text that text, which is closer to each than they are together.
+    met = held.groupBy("rep").agg(F.sum("n").alias("met"))
+    top = F.max(F.struct(F.col("met"), (-F.col("rep")).alias("rep"), "n_shingles")).alias("top")
+    centres = held.join(met, "rep").groupBy("h").agg(top).select("h", (-F.col("top.rep")).alias("centre"), F.col("top.n_shingles").alias("centre_n"))
+    held = materialise(held.join(centres, "h"), "buckets")
 
     def fits(a: str, b: str):
         """Sizes that allow the similarity."""
         return (F.col(a) >= least * F.col(b)) & (F.col(b) >= least * F.col(a))
 
-    pairs = materialise(held.where("rep <> centre").where(fits("n_shingles", "centre_n")).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    pairs = materialise(held.where("rep <> centre").where(fits("n_shingles", "centre_n")).select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct(), "pairs")
     links = materialise(similarities(pairs, texts, words, least), "links")
     classes = materialise(components(links), "classes")
 
@@ -168,23 +183,28 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
     # The centres have been compared with all others of their buckets.
     rest = materialise(mixed(held.where("rep <> centre").drop("centre", "centre_n"), classes), "rest")
-    if rest.isEmpty():
-        return _named(signed, members, classes, doc_id)
-    few = rest.where(F.col("n") <= small)
-    more = materialise(similarities(materialise(across(few, few).where("a < b"), "pairs"), texts, words, least), "links")
-    links = links.unionByName(more)
-    many = rest.where(F.col("n") > small)
     turn = 0
-    while not many.isEmpty():
+    while not rest.isEmpty():
         turn += 1
+        # Members of a bucket's largest class lead first: each meets the others only,
+        # and these soon join the class. Then small buckets are compared in full,
+        # and in large ones members of other classes lead too.
+        if turn == 3:
+            few = rest.where(F.col("n") <= small)
+            pairs, left = across(few, few).where("a < b"), rest.where(F.col("n") > small)
+        else:
+            first = 4 if turn == 1 else 16 if turn == 2 else leaders
+            sizes = rest.groupBy("h", "class").agg(F.count("*").alias("k"))
+            main = sizes.groupBy("h").agg(F.max(F.struct("k", "class")).alias("m")).select("h", F.col("m.k").alias("k"), F.col("m.class").alias("main"))
+            draw = lambda of: F.pmod(F.xxhash64("h", "rep", F.lit(turn)), F.col(of))
+            lead = F.when(F.col("class") == F.col("main"), draw("k") < first)
+            lead = lead.otherwise((draw("n") < 8) if turn > 3 else F.lit(False))
+            marked = materialise(rest.join(main, "h").withColumn("lead", lead).drop("k", "main"), "marked")
+            pairs, left = across(marked.where("lead"), marked), marked.where("not lead").drop("lead")
+        links = links.unionByName(materialise(similarities(materialise(pairs.distinct(), "pairs"), texts, words, least), "links"))
         classes = materialise(components(links), "classes")
-        many = materialise(mixed(many, classes), "many")
-        lead = (F.pmod(F.xxhash64("h", "rep", F.lit(turn)), F.col("n")) < leaders) | (F.col("rep") == F.col("lowest"))
-        marked = materialise(many.join(many.groupBy("h").agg(F.min("rep").alias("lowest")), "h").withColumn("lead", lead), "marked")
-        more = materialise(similarities(materialise(across(marked.where("lead"), marked), "pairs"), texts, words, least), "links")
-        links = links.unionByName(more)
-        many = marked.where("not lead").drop("lowest", "lead")
-    return _named(signed, members, materialise(components(links), "classes"), doc_id)
+        rest = materialise(mixed(left, classes), "rest")
+    return _named(signed, members, classes, doc_id)
 
 
 def _named(signed: DataFrame, members: DataFrame, classes: DataFrame, doc_id: str) -> DataFrame:
