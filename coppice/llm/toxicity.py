@@ -1,12 +1,12 @@
 """Toxicity by class-conditional Kneser-Ney models of the letters of expressions.
 
-Two models of the next letter after five, one counted on toxic and one on ordinary
+Two models of the next letter after seven, one counted on toxic and one on ordinary
 texts, interpolate by absolute discounting with the same lower orders, Kneser-Ney
 continuation counts of both classes together. An n-gram that neither class has
 seen thus backs off to the same probability in both, and rare expressions carry
 little evidence. An expression (a word) scores the log-likelihood ratio per
 letter; a text is judged by its three highest expressions, its mean and its
-length, by a logistic function that is fitted on rows the models didn't count.
+length, by a logistic function that is fitted to texts as models see them that didn't count them.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import crc_mod, extended, slices
 
-ORDER = 6
-_BITS = 10
+ORDER = 8
+_BITS = 7
 _START, _END = 1, 2
 _EDGE = "\"'`.,;:!?()[]{}<>«»„“”‘’…*#$%&|~_-+=/\\^"
 #: Words a Python worker remembers before it starts anew (some 150 bytes each).
@@ -48,7 +48,7 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     code = np.full(int(ends[-1]) if len(ends) else 0, _START, np.int64)
     code[ends - 1] = _END
     owner = np.repeat(np.arange(len(words)), size)
-    code[np.arange(len(points)) + ORDER * owner + ORDER - 1] = 3 + points % 1020
+    code[np.arange(len(points)) + ORDER * owner + ORDER - 1] = 3 + points % 125
     gram = np.zeros(max(len(code) - ORDER + 1, 0), np.int64)
     for j in range(ORDER):
         gram = (gram << _BITS) | code[j : j + len(gram)]
@@ -95,7 +95,7 @@ class Model:
             ending, kinds = _totals(distinct & cut(n), np.ones(len(distinct)))
             levels[n] = (ending, kinds)
             distinct = ending
-        shared = np.full(len(gram), 1 / 1024)
+        shared = np.full(len(gram), 1 / (1 << _BITS))
         for n in range(1, ORDER):
             ending, kinds = levels[n]
             context, total, branch = _totals(ending >> _BITS, kinds, np.ones(len(kinds)))
@@ -126,7 +126,8 @@ class Model:
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         if self.key not in _memory:
-            _memory.clear()
+            if len(_memory) > 1:  # two models take turns while one is trained
+                _memory.clear()
             _memory[self.key] = {}
         seen = _memory[self.key]
         if len(seen) > MEMORY:
@@ -164,12 +165,13 @@ class Model:
         self.weights, self.bias = w[:-1] / scale, float(w[-1] - (w[:-1] * mean / scale).sum())
 
 
-def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_toxic: int = 6000, max_ordinary: int = 12000, max_grams: int = 400_000, least: int = 2) -> Model:
+def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_toxic: int = 6000, max_ordinary: int = 12000, max_grams: int = 600_000, least: int = 2) -> Model:
     """Fit on labelled rows (``labels``: doc_id, toxic 0 or 1) whose crc32(doc_id)
     modulo 5 is not 0.
 
     At most ``max_toxic`` and ``max_ordinary`` rows are used, the first by a hash
-    of doc_id; a fifth of them is left for the logistic function. An n-gram counts
+    of doc_id; the logistic function is fitted to both halves of them, each judged
+    by models of the other half. An n-gram counts
     once for each text that has it; the ``max_grams`` most frequent with at least
     ``least`` are kept, so the model is bounded. A doc_id labelled twice is toxic
     if any label says so. Null labels, ids and texts are skipped; without both
@@ -179,31 +181,39 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     first = lambda t, n: marked.where(F.col("_toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     sample = first(1, max_toxic).unionByName(first(0, max_ordinary)).withColumnRenamed("doc_id", "_id")
     rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
-    rows = rows.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("text", "_toxic", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) == 0).alias("_held"))
+    rows = rows.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("text", "_toxic", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int").alias("_half"))
     rows = rows.persist()
+    names = ["c00", "c01", "c10", "c11"]  # by half and class
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "text"):
-            toxic = part.column("_toxic").to_pylist()
-            words = [Counter(), Counter()]
-            for t, x in zip(texts, toxic):
-                words[bool(x)].update(set(expressions(t)))
-            both = list(words[0].keys() | words[1].keys())
-            gram, of = grams(both)
-            n = [np.array([w[b] for b in both], float)[of] for w in words] if both else [np.zeros(0)] * 2
-            keys, c0, c1 = _totals(gram, *n)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(c0), pa.array(c1)], names=["gram", "c0", "c1"])
-
-    counts = rows.where("not _held").mapInArrow(count, "gram long, c0 double, c1 double").groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-    table = counts.where(F.col("c0") + F.col("c1") >= least).orderBy(F.desc(F.col("c0") + F.col("c1")), "gram").limit(max_grams).toArrow().to_pandas()
-    model = Model.fit(table.gram.to_numpy(np.int64), table.c0.to_numpy(), table.c1.to_numpy())
+            words = [Counter() for _ in names]
+            for t, x, half in zip(texts, part.column("_toxic").to_pylist(), part.column("_half").to_pylist()):
+                words[2 * half + bool(x)].update(set(expressions(t)))
+            every = list(set().union(*words))
+            gram, of = grams(every)
+            n = [np.array([w[b] for b in every], float)[of] if every else np.zeros(0) for w in words]
+            keys, *c = _totals(gram, *n)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, c)], names=["gram", *names])
+
+    counts = rows.mapInArrow(count, "gram long, " + ", ".join(f"{c} double" for c in names)).groupBy("gram").agg(*[F.sum(c).alias(c) for c in names])
+    total = sum([F.col(c) for c in names[1:]], F.col(names[0]))
+    table = counts.where(total >= least).orderBy(F.desc(total), "gram").limit(max_grams).toArrow().to_pandas()
+    gram, (c00, c01, c10, c11) = table.gram.to_numpy(np.int64), (table[c].to_numpy(float) for c in names)
+    model = Model.fit(gram, c00 + c10, c01 + c11)
+    # Each half is judged by the model that was counted on the other one.
+    halves = [Model.fit(gram[m], o[m], t[m]) for o, t in ((c10, c11), (c00, c01)) if (m := o + t > 0) is not None]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "text"):
-            x = model.features(texts)
+            half = np.asarray(part.column("_half").to_pylist(), np.int64)
+            x = np.zeros((len(texts), FEATURES))
+            for h in (0, 1):
+                if len(at := np.flatnonzero(half == h)):
+                    x[at] = halves[h].features([texts[i] for i in at])
             yield pa.RecordBatch.from_arrays([part.column("_toxic"), *[pa.array(c) for c in x.T]], names=["toxic", *[f"f{i}" for i in range(FEATURES)]])
 
-    held = rows.where("_held").mapInArrow(judge, "toxic int, " + ", ".join(f"f{i} double" for i in range(FEATURES))).toArrow().to_pandas()
+    held = rows.mapInArrow(judge, "toxic int, " + ", ".join(f"f{i} double" for i in range(FEATURES))).toArrow().to_pandas()
     rows.unpersist()
     model.calibrate(held.drop(columns="toxic").to_numpy(float), held.toxic.to_numpy(float))
     return model
