@@ -28,7 +28,7 @@ def test_missing_values_choose_a_side(spark):
     rows = [(i, [0.0, 1.0, None][i % 3], [10.0, 0.0, 10.0][i % 3]) for i in range(90)]
     df = spark.createDataFrame(rows, "rid long, f0 double, label double")
     m = CoppiceRegressor(n_estimators=1, max_depth=1, learning_rate=1.0, reg_lambda=0.0).fit(df, rid="rid")
-    assert {(r.label, r.prediction) for r in m.transform(df).collect()} == {(10.0, 10.0), (0.0, 0.0)}
+    assert all(abs(r.label - r.prediction) < 1e-9 for r in m.transform(df).collect())
 
 
 def test_mixed_features_shap_export_and_files(spark, tmp_path):
