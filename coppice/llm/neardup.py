@@ -8,10 +8,11 @@ probability Jaccard similarity of their weighted shingles; bands of registers
 propose pairs, and the shingle sets of a proposed pair are compared exactly.
 
 No bucket is expanded into all its pairs. Texts with the same shingles are one
-member; then each bucket is compared with its central member, the links found
-are closed to classes, and only members of different classes are compared
-further, some leaders of a bucket at a time; a leader leaves the bucket once it
-has been compared with all members of other classes.
+member, and buckets with the same members are one bucket. Each bucket is compared
+with its central member and the links found are closed to classes. Buckets that
+still hold several classes are cut into blocks of bounded size; a task compares two
+blocks by sparse and dense products of their sets and hands on only a forest of the
+links it finds. Two blocks of a bucket's largest class need no comparison.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ from .graph import components
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _RUN = 1 << 21
+#: Shingles in more rows of a task than this are compared by products of matrices,
+#: so many columns at a time.
+_RARE, _COLUMNS = 24, 4096
 
 
 def registers(rows: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int, m: int, seed: int = 1) -> np.ndarray:
@@ -133,7 +137,83 @@ def similarities(pairs: DataFrame, texts: DataFrame, words: int, least: float) -
     return both.mapInArrow(work, "a long, b long").distinct()
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, bands: int = 40, width: int = 8, small: int = 64, leaders: int = 32, seed: int = 1) -> DataFrame:
+def block_links(table: pa.Table, least: float) -> pa.Table:
+    """A forest (a, b) of the links among the rows (rep, set) of ``table``: rows that
+    can reach each other by pairs of a Jaccard similarity of ``least`` or more are
+    named with the smallest rep of them."""
+    rep = table.column("rep").to_numpy()
+    sets = table.column("set").combine_chunks()
+    sets = sets.combine_chunks() if isinstance(sets, pa.ChunkedArray) else sets
+    n, values = np.diff(sets.offsets.to_numpy()), sets.flatten().to_numpy()
+    count, rows = len(rep), np.repeat(np.arange(len(rep)), n)
+    order = np.lexsort((rows, values))
+    values, rows = values[order], rows[order]
+    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+    held = np.diff(np.r_[starts, len(values)])
+    at, often = np.repeat(np.arange(len(starts)), held), np.repeat(held, held)
+    # Rare shingles: all pairs of the rows that hold one, at most _RARE^2 / 2.
+    shared = np.zeros(count * count)
+    few, few_rows = at[often <= _RARE], rows[often <= _RARE]
+    for k in range(1, min(_RARE, len(few))):
+        same = few[k:] == few[:-k]
+        if not same.any():
+            break
+        shared += np.bincount(few_rows[:-k][same] * count + few_rows[k:][same], minlength=count * count)
+    shared = shared.reshape(count, count)
+    # Frequent ones: products of 0/1 matrices, some columns at a time.
+    many, many_rows = at[often > _RARE], rows[often > _RARE]
+    column = np.cumsum(np.r_[False, many[1:] != many[:-1]]) if len(many) else many
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        part = slice(*np.searchsorted(column, (first, first + _COLUMNS)))
+        dense = np.zeros((count, _COLUMNS), np.float32)
+        dense[many_rows[part], column[part] - first] = 1
+        shared += np.triu(dense @ dense.T, 1)
+    near = (shared > 0) & (shared >= least * (n[:, None] + n[None] - shared))
+    x, y = np.nonzero(near)
+    order = np.argsort(rep, kind="stable")
+    label = np.empty(count, np.int64)
+    label[order] = np.arange(count)
+    while True:
+        before = label.copy()
+        np.minimum.at(label, x, before[y])
+        np.minimum.at(label, y, before[x])
+        label = np.minimum(label, label[order[label]])
+        if (label == before).all():
+            break
+    root = rep[order[label]]
+    return pa.table({"a": root[root != rep], "b": rep[root != rep]})
+
+
+def within_buckets(rest: DataFrame, texts: DataFrame, words: int, least: float, block: int) -> DataFrame:
+    """Links (a, b) that connect, within each bucket of ``rest`` (h, rep, class,
+    n_shingles), all that pairs of different classes connect."""
+    # A block holds about ``block`` rows, fewer if their texts are long.
+    rest = rest.withColumn("weight", 1 + F.col("n_shingles") / F.lit(2000.0))
+    sizes = rest.groupBy("h", "class").agg(F.sum("weight").alias("k"))
+    sizes = sizes.groupBy("h").agg(F.max(F.struct("k", "class")).alias("m"), F.sum("k").alias("all"))
+    blocks = lambda weight: F.ceil(weight / block).cast("int")
+    sizes = sizes.select("h", F.col("m.class").alias("main"), blocks(F.col("m.k")).alias("p"), blocks(F.col("all") - F.col("m.k")).alias("q"))
+    draw = lambda of: F.pmod(F.xxhash64("rep"), F.col(of)).cast("int")
+    placed = rest.join(sizes, "h").where("q > 0").withColumn("own", F.when(F.col("class") == F.col("main"), draw("p")).otherwise(F.col("p") + draw("q")))
+    # Blocks 0..p-1 are of the main class; the second block of a task is not.
+    tasks = placed.select("h", "rep", F.col("own"), F.explode(F.when(F.col("own") < F.col("p"), F.sequence(F.col("p"), F.col("p") + F.col("q") - 1)).otherwise(F.sequence(F.lit(0), F.col("p") + F.col("q") - 1))).alias("other"))
+    tasks = tasks.select("h", "rep", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = flat.text_bytes(batch.column(1))
+            for a, b in flat.row_runs(offsets, _RUN):
+                rows, shingle, _ = flat.shingles(*flat.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), words)
+                ends = np.r_[0, np.cumsum(np.bincount(rows, minlength=b - a))].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(shingle.view(np.int64)))], names=["rep", "set"])
+
+    # An id with several texts: they are one document, and the links of each count.
+    sets = keep_ids(texts, rest.select("rep").distinct().withColumnRenamed("rep", "id"), "id").mapInArrow(work, "rep long, set array<long>")
+    sets = materialise(sets, "sets")
+    return tasks.join(sets, "rep").groupBy("h", "i", "j").applyInArrow(lambda table: block_links(table, least), "a long, b long").distinct()
+
+
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, bands: int = 40, width: int = 8, block: int = 512, seed: int = 1) -> DataFrame:
     """(doc_id, class_id, n_shingles) for every row of ``df``; class_id is the
     smallest doc_id of the row's class of near duplicates.
 
@@ -153,57 +233,31 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     # Copies, and texts of the same shingles, are one member from here on.
     members = materialise(known.groupBy("k1", "k2", "n_shingles").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")), "members")
     held = members.select("rep", "n_shingles", F.explode("bands").alias("h"))
-    held = materialise(held.join(held.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "h"), "shared")
+    # Of buckets with the same members one is enough.
+    marks = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
+    alike = held.groupBy("h").agg(F.count("*").alias("n"), *marks).where("n > 1").groupBy("n", "x1", "x2").agg(F.min("h").alias("h")).select("h", "n")
+    held = materialise(held.join(alike, "h"), "shared")
     # A bucket's centre is the member that meets most others in all its buckets: of
     # copies of one text that text, which is closer to each than they are together.
     met = held.groupBy("rep").agg(F.sum("n").alias("met"))
     top = F.max(F.struct(F.col("met"), (-F.col("rep")).alias("rep"), "n_shingles")).alias("top")
     centres = held.join(met, "rep").groupBy("h").agg(top).select("h", (-F.col("top.rep")).alias("centre"), F.col("top.n_shingles").alias("centre_n"))
-    held = materialise(held.join(centres, "h"), "buckets")
+    held = materialise(held.join(centres, "h").where("rep <> centre"), "buckets")
 
     def fits(a: str, b: str):
         """Sizes that allow the similarity."""
         return (F.col(a) >= least * F.col(b)) & (F.col(b) >= least * F.col(a))
 
-    pairs = materialise(held.where("rep <> centre").where(fits("n_shingles", "centre_n")).select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct(), "pairs")
+    pairs = materialise(held.where(fits("n_shingles", "centre_n")).select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct(), "pairs")
     links = materialise(similarities(pairs, texts, words, least), "links")
     classes = materialise(components(links), "classes")
-
-    def mixed(held: DataFrame, classes: DataFrame) -> DataFrame:
-        """The members of buckets that hold more than one class, with their class."""
-        named = held.drop("class").join(classes.select(F.col("id").alias("rep"), F.col("class_id").alias("class")), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
-        several = named.groupBy("h").agg(F.min("class").alias("c1"), F.max("class").alias("c2"), F.count("*").alias("n")).where("c1 <> c2").select("h", "n")
-        return named.drop("n").join(several, "h")
-
-    def across(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Pairs of different classes in a bucket whose sizes allow the similarity."""
-        x = left.select("h", F.col("rep").alias("a"), F.col("class").alias("ca"), F.col("n_shingles").alias("na"))
-        y = right.select("h", F.col("rep").alias("b"), F.col("class").alias("cb"), F.col("n_shingles").alias("nb"))
-        return x.join(y, "h").where("ca <> cb").where(fits("na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    # The centres have been compared with all others of their buckets.
-    rest = materialise(mixed(held.where("rep <> centre").drop("centre", "centre_n"), classes), "rest")
-    turn = 0
-    while not rest.isEmpty():
-        turn += 1
-        # Members of a bucket's largest class lead first: each meets the others only,
-        # and these soon join the class. Then small buckets are compared in full,
-        # and in large ones members of other classes lead too.
-        if turn == 3:
-            few = rest.where(F.col("n") <= small)
-            pairs, left = across(few, few).where("a < b"), rest.where(F.col("n") > small)
-        else:
-            first = 4 if turn == 1 else 16 if turn == 2 else leaders
-            sizes = rest.groupBy("h", "class").agg(F.count("*").alias("k"))
-            main = sizes.groupBy("h").agg(F.max(F.struct("k", "class")).alias("m")).select("h", F.col("m.k").alias("k"), F.col("m.class").alias("main"))
-            draw = lambda of: F.pmod(F.xxhash64("h", "rep", F.lit(turn)), F.col(of))
-            lead = F.when(F.col("class") == F.col("main"), draw("k") < first)
-            lead = lead.otherwise((draw("n") < 8) if turn > 3 else F.lit(False))
-            marked = materialise(rest.join(main, "h").withColumn("lead", lead).drop("k", "main"), "marked")
-            pairs, left = across(marked.where("lead"), marked), marked.where("not lead").drop("lead")
-        links = links.unionByName(materialise(similarities(materialise(pairs.distinct(), "pairs"), texts, words, least), "links"))
-        classes = materialise(components(links), "classes")
-        rest = materialise(mixed(left, classes), "rest")
+    # The centres have been compared with all others of their buckets; what is left
+    # are buckets whose other members are of several classes.
+    named = held.join(classes.select(F.col("id").alias("rep"), F.col("class_id").alias("class")), "rep", "left").select("h", "rep", "n_shingles", F.coalesce("class", "rep").alias("class"))
+    several = named.groupBy("h").agg(F.min("class").alias("c1"), F.max("class").alias("c2")).where("c1 <> c2").select("h")
+    rest = materialise(named.join(several, "h"), "rest")
+    more = materialise(within_buckets(rest, texts, words, least, block), "links")
+    classes = materialise(components(links.unionByName(more)), "classes")
     return _named(signed, members, classes, doc_id)
 
 

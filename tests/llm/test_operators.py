@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,14 +235,40 @@ def test_near_duplicates(spark):
     rows = [(i, t, "clash") for i, t in texts.items()] + [(500, None, "n"), (501, None, "n"), (None, "x", "n"), (3, texts[3], "again")]
     df = spark.createDataFrame(rows, "doc_id long, text string, class_id string")
     want = brute_classes(texts) | {500: 500, 501: 501}
-    for small in (64, 2):
-        got = neardup.near_duplicates(df, small=small, leaders=2).collect()
+    for block in (512, 7, 1):
+        got = neardup.near_duplicates(df, block=block).collect()
         assert len(got) == len(rows)
-        assert all(r.class_id == want.get(r.doc_id) for r in got), small
+        assert all(r.class_id == want.get(r.doc_id) for r in got), block
     kept = neardup.deduplicate(df).collect()
     assert Counter(r.doc_id for r in kept) == Counter({*want.values(), None})
 
 
+def test_block_links(monkeypatch):
+    rng = random.Random(4)
+    base = rng.sample(range(2**40), 60)
+    sets = [[], base[:1], base[:1], *(sorted({*rng.sample(base, rng.randrange(50, 60)), *rng.sample(range(100), rng.randrange(8))}) for _ in range(80))]
+    reps = rng.sample(range(1000), len(sets))
+    parent = {r: r for r in reps}
+
+    def root(r):
+        return r if parent[r] == r else root(parent[r])
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            k = len({*a} & {*sets[j]})
+            if k and 10 * k >= 8 * (len(a) + len(sets[j]) - k):
+                x, y = sorted((root(reps[i]), root(reps[j])))
+                parent[y] = x
+    want = {(root(r), r) for r in reps if root(r) != r}
+    table = pa.table({"rep": pa.array(reps, pa.int64()), "set": pa.array(sets, pa.list_(pa.int64()))})
+    for rare, columns in ((24, 4096), (1, 7), (200, 5)):
+        monkeypatch.setattr(neardup, "_RARE", rare)
+        monkeypatch.setattr(neardup, "_COLUMNS", columns)
+        got = neardup.block_links(table, 0.8)
+        assert {*zip(got["a"].to_pylist(), got["b"].to_pylist())} == want
+    assert neardup.block_links(table.slice(0, 1), 0.8).num_rows == 0
+
+
 def test_probability_jaccard():
     u = {1: 3.0, 2: 1.0, 3: 2.0, 4: 1.0}
     v = {1: 1.0, 2: 1.0, 3: 2.0, 5: 4.0}
