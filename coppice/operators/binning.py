@@ -46,10 +46,11 @@ def bin_edges(df: DataFrame, features: list[str], params: Params, rows: int, rid
     w = Window.partitionBy("f")
     ranked = long.withColumn("i", F.row_number().over(w.orderBy("v")) - 1).withColumn("m", F.count("*").over(w))
     b = params.bins
-    # Rank i is edge k's where floor((k + 1) m / b) = i, or the last rank.
-    ks = F.sequence(F.lit(0), F.lit(b - 2))
-    own = F.filter(ks, lambda k: F.least(F.col("m") - 1, F.floor((k + 1) * F.col("m") / b)) == F.col("i"))
-    return ranked.select("f", F.explode(own).alias("k"), F.col("v").alias("edge"))
+    # Edges k with floor((k + 1) m / b) = i, so i b / m <= k + 1 < (i + 1) b / m; few
+    # ranks have one.
+    up = lambda x: F.expr(f"({x} * {b}L + m - 1) div m")
+    own = ranked.withColumn("lo", F.greatest(F.lit(0), up("i") - 1).cast("int")).withColumn("hi", F.least(F.lit(b - 2), up("(i + 1)") - 2).cast("int")).where("hi >= lo")
+    return own.select("f", F.explode(F.sequence("lo", "hi")).alias("k"), F.col("v").alias("edge"))
 
 
 def collect_edges(edges: DataFrame, features: int) -> list[list[float]]:
