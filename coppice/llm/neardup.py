@@ -1,11 +1,11 @@
 """Near-duplicate documents by ProbMinHash, banding and exact verification.
 
-Every distinct word shingle of a text is a Poisson process whose rate is its
-weight, 1 + ln(occurrences). Arrivals fall on random registers, a register keeps
-the shingle that arrives first, and a shingle stops as soon as its next arrival
-is later than every register's. Two texts agree in a register with the
-probability Jaccard similarity of their weighted shingles; bands of registers
-propose pairs, and the shingle sets of a proposed pair are compared exactly.
+Every distinct word shingle of a text is a Poisson process. Arrivals fall on random
+registers, a register keeps the shingle that arrives first, and a shingle stops as
+soon as its next arrival is later than every register's. All rates are 1 however
+often a shingle stands in a text: two texts then agree in a register with the
+Jaccard similarity of their shingle sets, the one by which pairs are judged. Bands
+of registers propose pairs, and the sets of a proposed pair are compared exactly.
 
 No bucket is expanded into all its pairs. Texts with the same shingles are one
 member, and buckets with the same members are one bucket. Each bucket is compared
@@ -37,7 +37,8 @@ _RARE, _COLUMNS = 24, 4096
 
 def registers(rows: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int, m: int, seed: int = 1) -> np.ndarray:
     """The ProbMinHash registers (n x m, the winning shingles) of ``n`` rows; rows
-    without shingles keep zeros. ``rows`` is sorted."""
+    without shingles keep zeros. ``rows`` is sorted; the rate of a shingle is
+    1 + ln(``count``)."""
     value = np.full(n * m, np.inf)
     winner = np.zeros(n * m, np.uint64)
     weight = 1.0 + np.log(count)
@@ -83,14 +84,14 @@ def signatures(df: DataFrame, doc_id: str, text: str, words: int, bands: int, wi
                     part = batch.slice(a, min(b - a, 4096))
                     n = part.num_rows
                     own = offsets[a : a + n + 1]
-                    rows, shingle, count = flat.shingles(*flat.words(data[own[0] : own[-1]], own - own[0]), words)
+                    rows, shingle, _ = flat.shingles(*flat.words(data[own[0] : own[-1]], own - own[0]), words)
                     with np.errstate(over="ignore"):
                         k = np.zeros((2, n), np.uint64)
                         if len(rows):
                             starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
                             for i in (0, 1):
                                 k[i][rows[starts]] = np.add.reduceat(flat.mix(shingle ^ np.uint64(0xA5A5A5A5 + i)), starts)
-                        won = registers(rows, shingle, count, n, m, seed).reshape(n, bands, width)
+                        won = registers(rows, shingle, np.ones(len(rows)), n, m, seed).reshape(n, bands, width)
                         h = np.zeros((n, bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
                         for i in range(width):
                             h = flat.mix(h * _GOLD + won[:, :, i])
@@ -219,8 +220,9 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
     Classes are the connected components of pairs whose sets of ``words``-word
     shingles have a Jaccard similarity of ``least`` or more, among the pairs that
-    share a band (at 0.8 a pair is missed with a chance of (1 - 0.8^8)^40, about
-    6e-4, at 0.85 of 3e-6). White space separates words; case counts.
+    share a band. A pair of similarity s shares none with a chance of
+    (1 - s^width)^bands, by default 6e-4 at 0.8 and 3e-6 at 0.85, however often its
+    shingles repeat. White space separates words; case counts.
 
     A text of fewer than ``words`` words has one shingle, all its words. Texts
     without words are copies of each other; a null text is like no other; a null

@@ -243,6 +243,20 @@ def test_near_duplicates(spark):
     assert Counter(r.doc_id for r in kept) == Counter({*want.values(), None})
 
 
+def test_near_duplicates_that_repeat_a_passage(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    texts = {}
+    for k in range(60):
+        head, passage = [word() for _ in range(60)], [word() for _ in range(50)]
+        texts[2 * k] = " ".join(head + passage)
+        texts[2 * k + 1] = " ".join(head + passage * (20, 50)[k % 2])
+    got = neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    want = brute_classes(texts)
+    assert all(want[2 * k + 1] == 2 * k for k in range(60))
+    assert {r.doc_id: r.class_id for r in got} == want
+
+
 def test_block_links(monkeypatch):
     rng = random.Random(4)
     base = rng.sample(range(2**40), 60)
