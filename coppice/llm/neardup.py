@@ -214,14 +214,14 @@ def within_buckets(rest: DataFrame, texts: DataFrame, words: int, least: float,
     return tasks.join(sets, "rep").groupBy("h", "i", "j").applyInArrow(lambda table: block_links(table, least), "a long, b long").distinct()
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, bands: int = 40, width: int = 8, block: int = 512, seed: int = 1) -> DataFrame:
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, bands: int = 40, width: int = 6, block: int = 512, seed: int = 1) -> DataFrame:
     """(doc_id, class_id, n_shingles) for every row of ``df``; class_id is the
     smallest doc_id of the row's class of near duplicates.
 
     Classes are the connected components of pairs whose sets of ``words``-word
     shingles have a Jaccard similarity of ``least`` or more, among the pairs that
     share a band. A pair of similarity s shares none with a chance of
-    (1 - s^width)^bands, by default 6e-4 at 0.8 and 3e-6 at 0.85, however often its
+    (1 - s^width)^bands, by default 5e-6 at 0.8 and 6e-9 at 0.85, however often its
     shingles repeat. White space separates words; case counts.
 
     A text of fewer than ``words`` words has one shingle, all its words. Texts

@@ -2,6 +2,7 @@
 nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
 import hashlib
+import inspect
 import math
 import os
 import random
@@ -257,6 +258,20 @@ def test_near_duplicates_that_repeat_a_passage(spark):
     assert {r.doc_id: r.class_id for r in got} == want
 
 
+def test_default_bands_propose_pairs_at_the_threshold():
+    own = inspect.signature(neardup.near_duplicates).parameters
+    bands, width, least = (own[k].default for k in ("bands", "width", "least"))
+    assert (1 - least**width) ** bands < 1e-5
+    rng, pairs, missed = np.random.default_rng(5), 5000, 0
+    for _ in range(10):
+        n = pairs // 10
+        both, one, two = (rng.integers(1, 2**63, (n, k), dtype=np.uint64) for k in (80, 10, 10))
+        sets = np.stack([np.hstack([both, one]), np.hstack([both, two])], 1).reshape(2 * n, 90)
+        r = neardup.registers(np.repeat(np.arange(2 * n), 90), sets.ravel(), np.ones(sets.size), 2 * n, bands * width).reshape(n, 2, bands, width)
+        missed += int((~(r[:, 0] == r[:, 1]).all(2).any(1)).sum())
+    assert missed == 0
+
+
 def test_block_links(monkeypatch):
     rng = random.Random(4)
     base = rng.sample(range(2**40), 60)
