@@ -3,7 +3,8 @@
 A sparse logistic regression over word n-grams, trained on notice templates, gives
 each paragraph a family or ``unknown``; the probability of the unknown class is
 calibrated on cut and embedded notices that the weights were not fitted on. A
-prediction counts once a template of its family confirms it by comparison.
+prediction counts once a template of its family confirms it by comparison. A notice
+may be one line or wrapped over several, which are judged together as well.
 
 Only n-grams with a cue (a word such as licence, copyright, permission) are
 features, so a paragraph without a cue has no feature and is unknown by the bias:
@@ -239,7 +240,7 @@ def _column_ngrams(tokens: Column, n: int) -> Column:
 
 
 def classify(paragraph: Column, model: Classifier, least: float) -> Column:
-    """struct<family, probability, confirmed> of a paragraph that holds a cue."""
+    """struct<family, probability, confirmed, share> of a paragraph that holds a cue."""
     known = model.families[:-1]
     names = constant(model.families, "array<string>")
     table = constant([{"g": g, "w": w} for g, w in sorted(model.weights.items())], "array<struct<g:string,w:array<double>>>")
@@ -256,7 +257,7 @@ def classify(paragraph: Column, model: Classifier, least: float) -> Column:
             at = F.array_position(z, top).cast("int")
             family = F.element_at(names, at)
             alike = F.when(at <= len(known), F.element_at(confirmation(tokens, known), F.least(at, F.lit(len(known)))))
-            return F.struct(family.alias("family"), (F.lit(1.0) / total).alias("probability"), F.coalesce(alike >= least, F.lit(False)).alias("confirmed"))
+            return F.struct(family.alias("family"), (F.lit(1.0) / total).alias("probability"), F.coalesce(alike >= least, F.lit(False)).alias("confirmed"), F.coalesce(alike, F.lit(0.0)).alias("share"))
 
         def add(h: Column) -> Column:
             rows = F.filter(table, lambda v: F.array_contains(h, v["g"]))
@@ -267,30 +268,94 @@ def classify(paragraph: Column, model: Classifier, least: float) -> Column:
     return let(F.regexp_extract_all(F.lower(paragraph), F.lit(_WORD), F.lit(0)), judge)
 
 
+def _longest() -> int:
+    """Words of the longest template."""
+    return max(len(_tokens(t)) for texts in TEMPLATES.values() for t in texts)
+
+
+def _alike(least: float) -> list[str]:
+    """Pairs of families ("one/other") of which a notice of one confirms the other."""
+    pairs = {f: [{*zip(w := _tokens(t), w[1:])} or {*w} for t in texts] for f, texts in TEMPLATES.items()}
+    close = lambda f, g: any(len(x & y) >= least * len(y) for x in pairs[f] for y in pairs[g])
+    return [f"{f}/{g}" for f in pairs for g in pairs if f != g and (close(f, g) or close(g, f))]
+
+
+def has_cue(x: Column) -> Column:
+    out = F.lit(False)
+    for c in CUES:
+        out = out | F.contains(x, F.lit(c))
+    return out
+
+
+def notices(text: Column, model: Classifier, least: float) -> Column:
+    """struct<sure: array<struct<family, probability>>, unknown: int> of a text.
+
+    Each line with a cue is judged alone. A line that holds a whole template, or no
+    word, ends a paragraph. Within a paragraph each line is also judged with the one,
+    two and more lines that follow, until they hold as many words as the longest
+    template: one of these windows is the notice that begins in the line, however it
+    is wrapped. Part of a notice may look like a notice of an alike family: of
+    overlapping ones of alike families the one that holds more of a template counts."""
+    room = _longest()
+    alike = constant(_alike(least), "array<string>")
+    whole = lambda p: F.coalesce(p["note"]["share"] >= 1, F.lit(False))
+    words = lambda line: F.regexp_extract_all(F.lower(line), F.lit(_WORD), F.lit(0))
+    found = lambda i, last, note: F.struct(i.alias("i"), last.alias("last"), note.alias("note"))
+
+    def windows(lines: Column, i: Column) -> Column:
+        def more(acc: Column, p: Column) -> Column:
+            go_on = acc["open"] & (acc["words"] < room) & (F.size(p["words"]) > 0) & ~whole(p)
+            size, one = F.when(go_on, F.size(p["words"])).otherwise(0), F.when(go_on, 1).otherwise(0)
+            return F.struct((acc["words"] + size).alias("words"), (acc["lines"] + one).alias("lines"), go_on.alias("open"))
+
+        start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines"), F.lit(True).alias("open"))
+        extra = F.aggregate(F.slice(lines, i + 2, F.lit(room)), start, more, lambda acc: acc["lines"])
+
+        def judge(k: Column) -> Column:
+            joined = F.array_join(F.flatten(F.transform(F.slice(lines, i + 1, k + 1), lambda p: p["words"])), " ")
+            return let(joined, lambda x: F.when(has_cue(x), found(i, i + k, classify(x, model, least))))
+
+        own = lines[i]
+        each = let(extra, lambda n: F.when(n > 0, F.transform(F.sequence(F.lit(1), n), judge)))
+        return F.coalesce(F.when((F.size(own["words"]) > 0) & ~whole(own), each), F.array())
+
+    def choose(lines: Column) -> Column:
+        alone = F.filter(F.transform(lines, lambda p, i: found(i, i, p["note"])), lambda x: x["note"].isNotNull())
+        wide = F.filter(F.flatten(F.transform(lines, lambda p, i: windows(lines, i))), lambda x: F.coalesce(x["note"]["confirmed"], F.lit(False)))
+        return let(F.struct(alone.alias("alone"), wide.alias("wide")), count)
+
+    def count(x: Column) -> Column:
+        def better(a: Column, b: Column) -> Column:
+            both = F.concat(a["note"]["family"], F.lit("/"), b["note"]["family"])
+            return (b["i"] <= a["last"]) & (b["last"] >= a["i"]) & (b["note"]["share"] > a["note"]["share"]) & F.array_contains(alike, both)
+
+        sure = F.concat(F.filter(x["alone"], lambda a: a["note"]["confirmed"]), x["wide"])
+        kept = let(sure, lambda all_: F.transform(F.filter(all_, lambda a: ~F.exists(all_, lambda b: better(a, b))), lambda a: a["note"]))
+        open_ = F.filter(x["alone"], lambda a: ~a["note"]["confirmed"] & ~F.exists(x["wide"], lambda b: (b["i"] <= a["i"]) & (b["last"] >= a["i"])))
+        return F.struct(kept.alias("sure"), F.size(open_).alias("unknown"))
+
+    judged = F.transform(F.split(text, "\n"), lambda p: F.struct(words(p).alias("words"), F.when(has_cue(F.lower(p)), classify(p, model, least)).alias("note")))
+    return let(judged, choose)
+
+
 def scan(df: DataFrame, text: str = "text", least: float = 0.6, seed: int = 1) -> DataFrame:
-    """``df`` with ``licenses`` (the families of its confirmed paragraphs, sorted),
+    """``df`` with ``licenses`` (the families of its confirmed notices, sorted),
     ``probability`` (the highest among them, null if none) and ``unknown_notices``
-    (paragraphs with a cue that are unknown or not confirmed).
+    (lines with a cue that are unknown or not confirmed, alone and with neighbours).
 
-    Paragraphs are the lines of the text. A null text, an empty one and one
-    without a cue have no licences and no notices. ``least``: the share of a
-    template that must stand in the paragraph. Whole texts are scanned; columns
-    of ``df`` with these names are replaced; repeated rows get the same.
+    Notices are lines of the text, or several lines of a paragraph if they are
+    wrapped. A null text, an empty one and one without a cue have no licences and
+    no notices. ``least``: the share of a template that must stand in the notice.
+    Whole texts are scanned; columns of ``df`` with these names are replaced;
+    repeated rows get the same.
     """
     model = train(seed)
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-
-    def has_cue(x: Column) -> Column:
-        out = F.lit(False)
-        for c in CUES:
-            out = out | F.contains(x, F.lit(c))
-        return out
-
-    own = df.drop("licenses", "probability", "unknown_notices")
-    notices = F.transform(F.filter(F.split(t, "\n"), lambda p: has_cue(F.lower(p))), lambda p: classify(p, model, least))
-    none = F.array().cast("array<struct<family:string,probability:double,confirmed:boolean>>")
-    found = own.withColumn("_found", F.when(has_cue(F.lower(t)), notices).otherwise(none))
-    sure = F.filter("_found", lambda x: x["confirmed"] & (x["family"] != UNKNOWN))
-    out = found.withColumn("licenses", F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))))
-    out = out.withColumn("probability", F.array_max(F.transform(sure, lambda x: x["probability"])))
-    return out.withColumn("unknown_notices", (F.size("_found") - F.size(sure)).cast("int")).drop("_found")
+    # A cue of two words may be wrapped too.
+    wrapped = "|".join(c.replace(" ", "[^a-z0-9]+") for c in CUES if " " in c)
+    any_cue = has_cue(F.lower(t)) | F.lower(t).rlike(wrapped)
+    out = df.drop("licenses", "probability", "unknown_notices").withColumn("_found", F.when(any_cue, notices(t, model, least)))
+    families = F.array_sort(F.array_distinct(F.transform("_found.sure", lambda x: x["family"])))
+    out = out.withColumn("licenses", F.coalesce(families, F.array().cast("array<string>")))
+    out = out.withColumn("probability", F.array_max(F.transform("_found.sure", lambda x: x["probability"])))
+    return out.withColumn("unknown_notices", F.coalesce(F.col("_found.unknown"), F.lit(0)).cast("int")).drop("_found")

@@ -6,6 +6,7 @@ import inspect
 import math
 import os
 import random
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -124,6 +125,33 @@ def test_licenses(spark):
     assert licenses.scan(odd(spark)).count() == len(ODD) + 3
 
 
+def test_wrapped_licenses(spark):
+    whole = {"MIT": [5], "GPL-3.0": [4], "GPL-2.0": [4], "LGPL": [3], "AGPL": [3], "BSD": [3, 4]}
+    more = " and some words that follow the notice in the text of the file"
+    rows, want = [], []
+
+    def add(text, families, unknown=0):
+        rows.append((len(rows), text))
+        want.append((families, unknown))
+
+    for f, at in whole.items():
+        for i in at:
+            for width in (1, 40, 70, 76, 80):
+                for mark in ("", "# ", " * "):
+                    lines = textwrap.wrap(licenses.TEMPLATES[f][i] + more, width, break_long_words=False)
+                    add("\n".join(["A title", mark.strip(), *(mark + x for x in lines), mark.strip(), "the end"]), [f])
+                    add("\n".join(["words of a line before it", *(mark + x for x in lines), "the end"]), [f])
+    two = [licenses.TEMPLATES["MIT"][5], licenses.TEMPLATES["BSD"][3]]
+    add("\n".join(x for t in two for x in textwrap.wrap(t, 72)), ["BSD", "MIT"])
+    add("Released under the MIT License.\nLicensed under the Apache License, Version 2.0.\nwords", ["Apache-2.0", "MIT"])
+    add(licenses.ORDINARY[0] + "\n" + licenses.ORDINARY[1] + "\nReleased under the MIT License.\n" + licenses.ORDINARY[4], ["MIT"], 3)
+    add("\n".join(textwrap.wrap(" ".join(licenses.ORDINARY[:6]), 50)), [], None)
+    add("This is free and unencumbered software released into the public\n# domain.", ["Unlicense"])
+    out = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    bad = [(rows[i][1], out[i].licenses, out[i].unknown_notices, *w) for i, w in enumerate(want) if out[i].licenses != w[0] or w[1] not in (None, out[i].unknown_notices)]
+    assert not bad, (len(bad), bad[:3])
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     out = queries.op6_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
