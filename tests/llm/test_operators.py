@@ -101,6 +101,17 @@ def test_rules_by_brute_force(spark):
     assert rules.quality(df.limit(0)).count() == 0
 
 
+def test_rules_are_timed_over_raw_text(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices("abcdefgh", k=3000)) for _ in range(200)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + ODD)], "doc_id long, text string").persist()
+    cost = {m.rule.name: m.cost for m in rules.measure(df, rules.production_rules())}
+    assert cost["repeated_phrases"] > 2 * cost["few_words"] and cost["repeated_phrases"] > 2 * cost["many_symbols"]
+    own = rules.alone()
+    apart = df.select("doc_id", *[c.cast("long").alias(k) for k, c in own.items()]).collect()
+    assert sorted(apart) == sorted(rules.measures(df).select("doc_id", *own).collect())
+
+
 def test_mixing_rates_and_ways(spark, monkeypatch):
     df = spark.createDataFrame([(i, "x" * 10, "en", "big" if i % 3 else "small", 10) for i in range(3000)], DOC)
     weights = {"big": 1.0, "small": 3.0}
