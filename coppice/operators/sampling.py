@@ -35,7 +35,12 @@ def goss_threshold(rows: DataFrame, top_rate: float, n: int) -> DataFrame:
 def goss(rows: DataFrame, params: Params, n: int, tree: int) -> DataFrame:
     """Rows of large |g|, and a hashed sample of the others with g and h scaled up."""
     a, b = params.goss_top_rate, params.goss_other_rate
-    cut = float(goss_threshold(rows, a, n).first()[0])
+    return goss_rows(rows, float(goss_threshold(rows, a, n).first()[0]), a, b, tree)
+
+
+def goss_rows(rows: DataFrame, cut: float, a: float, b: float, tree: int) -> DataFrame:
+    """Rows with |g| of ``cut`` or more, the share ``a``, and of the others a hashed
+    sample, the share ``b`` of all rows, with g and h scaled up."""
     large = F.abs("g") >= cut
     scale = F.when(large, 1.0).otherwise((1 - a) / b)
     return rows.where(large | keep(F.col("rid"), tree + 1, b / (1 - a) if a < 1 else 1.0)).withColumns({"g": F.col("g") * scale, "h": F.col("h") * scale})

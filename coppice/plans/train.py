@@ -198,6 +198,15 @@ def residual_quantiles(rows: DataFrame, q: float, n: int) -> DataFrame:
     return ranked.where("m >= 4").where(F.col("i") == F.least(F.col("m") - 1, F.floor(F.col("m") * q))).select("node", F.col("residual").alias("value"))
 
 
+def best_round(history: list[float], higher: bool) -> tuple[int, int]:
+    """Index of the first best metric, and how many rounds came after it."""
+    best = 0
+    for r, value in enumerate(history):
+        if value > history[best] if higher else value < history[best]:
+            best = r
+    return best, len(history) - 1 - best
+
+
 def fit(data: Binned, params: Params, valid: DataFrame | None = None, init: Forest | None = None, start: DataFrame | None = None, valid_start: DataFrame | None = None) -> tuple[Forest, list[float]]:
     """Boost on a binned table. ``valid``: binned rows of an evaluation set;
     ``start``: (rid, raw) scores that boosting goes on from. Returns the forest,
@@ -211,8 +220,7 @@ def fit(data: Binned, params: Params, valid: DataFrame | None = None, init: Fore
     forest = Forest(params.objective, params.max_bin, base, data.features, categorical, list(init.trees) if init else [], init.labels if init else None)
     allowed = [i for i, c in enumerate(data.features) if params.allowed_features is None or c in params.allowed_features]
     history: list[float] = []
-    best, stale = 0, 0
-    better = (lambda a, b: a > b) if metrics.higher_is_better(params.shown_metric) else (lambda a, b: a < b)
+    best = 0
     pending: list[tuple[int, Tree]] = []
 
     def scored(table: DataFrame) -> DataFrame:
@@ -251,10 +259,7 @@ def fit(data: Binned, params: Params, valid: DataFrame | None = None, init: Fore
             history.append(value)
             if params.verbose:
                 log.info("[%d] %s %.6f", r + 1, params.shown_metric, value)
-            if len(history) == 1 or better(value, history[best]):
-                best, stale = r, 0
-            else:
-                stale += 1
+            best, stale = best_round(history, metrics.higher_is_better(params.shown_metric))
             if params.early_stopping_rounds and stale >= params.early_stopping_rounds:
                 break
         if len(pending) >= REFRESH * k:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import metrics, objectives
-from .functions.hashing import keep, permuted
+from .functions.hashing import permuted
 from .model import Forest, Tree
 from .operators import binning, guards, histogram, predict, sampling, selection, splits
 from .operators.shap import contribution_column
@@ -368,10 +368,9 @@ def warm_start(spark, sf_dir):
 
 @query("select cast(2 as integer) as best_round, 3.0::double as metric")
 def early_stop(spark, sf_dir):
-    from pyspark.sql import Window
-
-    history = spark.createDataFrame([(1, 5.0), (2, 3.0), (3, 3.0), (4, 4.0)], "round int, metric double")
-    return history.withColumn("low", F.min("metric").over(Window.orderBy("round"))).where("metric = low").orderBy("metric", "round").limit(1).select(F.col("round").alias("best_round"), "metric")
+    history = [5.0, 3.0, 3.0, 4.0]
+    best, _ = plan.best_round(history, higher=False)
+    return spark.createDataFrame([(best + 1, history[best])], "best_round int, metric double")
 
 
 _BUCKET = "least(1023, cast(floor(abs(32.0 - label) / (select max(abs(32.0 - label)) from rows) * 1024) as integer))"
@@ -402,9 +401,8 @@ def bagging_sample(spark, sf_dir):
 
 @query(f"with {ROWS}, t as (select rid, 32.0::double - label as g, 20.0::double as cut from rows) select rid, case when abs(g) >= cut then g else g * 8.0 end as g from t where abs(g) >= cut or {_keep_sql(1, 0.125)}")
 def goss_sample(spark, sf_dir):
-    df = rows(spark, sf_dir).select("rid", (32.0 - F.col("label")).alias("g"))
-    large = F.abs("g") >= 20.0
-    return df.where(large | keep(F.col("rid"), 1, 0.125)).select("rid", F.when(large, F.col("g")).otherwise(F.col("g") * 8.0).alias("g"))
+    df = rows(spark, sf_dir).select("rid", (32.0 - F.col("label")).alias("g"), F.lit(1.0).alias("h"))
+    return sampling.goss_rows(df, 20.0, 0.2, 0.1, 0).select("rid", "g")
 
 
 @query()

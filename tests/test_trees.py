@@ -130,3 +130,26 @@ def test_hash(spark):
     xs = [0, 1, 61, 2**31, 2**32 - 1]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x long").select(wang(F.col("x"))).collect()]
     assert got == [wang_int(x) for x in xs]
+
+
+def test_queries_run_what_training_runs(spark, monkeypatch):
+    from coppice import queries
+    from coppice.operators import sampling
+    from coppice.plans import train as plan
+
+    called = []
+
+    def spy(module, name):
+        own = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, **b: called.append(name) or own(*a, **b))
+
+    spy(sampling, "goss_rows")
+    spy(plan, "best_round")
+    queries.QUERIES["goss_sample"](spark, "/root/testdata/sf0.001")
+    assert tuple(queries.QUERIES["early_stop"](spark, "/root/testdata/sf0.001").first()) == (2, 3.0)
+    assert called == ["goss_rows", "best_round"]
+    sampling.goss(spark.createDataFrame([(i, float(i), 1.0) for i in range(50)], "rid long, g double, h double"), plan.Params(), 50, 0)
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 7 > 3)) for i in range(300)], "rid long, x double, label double")
+    _, history = plan.train(df, ["x"], "label", plan.Params(n_estimators=2, max_depth=1, early_stopping_rounds=1), rid="rid", valid=df)
+    assert called[2] == "goss_rows" and called[3:] == ["best_round"] * len(history)
+    assert plan.best_round([float("nan"), 1.0], True) == (0, 1) and plan.best_round([1.0, 3.0, 3.0, 2.0], True) == (1, 2)
