@@ -15,10 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from .bpe_core import PairTable, merge
-from .common import extended, slices
+from .common import Words, held, mapped
 
 #: Fixed value: the pattern that the byte-level pre-tokenizer splits text by; its
 #: white space is Unicode's White_Space.
@@ -28,17 +28,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 #: ``re`` can take: there \p{L}, \p{N} and White_Space are these ranges.
 LATIN = ("A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0")
 
-#: Pieces a Python worker remembers before it starts anew (some 350 bytes each).
-MEMORY = 600_000
-
-_codecs: dict[str, "Codec"] = {}
-
 
 def codec(path: str) -> "Codec":
     """The codec of this Python worker: what it has encoded serves later tasks."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    return held(("bpe", path), lambda: Codec(path))
 
 
 def latin_pattern() -> str:
@@ -79,8 +72,7 @@ class Codec:
         self.beyond_latin = re.compile("[\u0250-\U0010ffff]").search
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.number_text = [str(i) for i in range(size)]
-        self.ids: dict[str, str] = {}
-        self.decoded: dict[str, bytes] = {}
+        self.memory = Words(value_bytes=220)
 
     def split(self, text: str) -> list[str]:
         return (self.split_any if self.beyond_latin(text) else self.split_latin)(text)
@@ -91,23 +83,20 @@ class Codec:
             return self.split(text)
         return [p for part in self.cut(text) for p in ([part] if part in self.special else self.split(part))]
 
-    def learn(self, words: set[str]) -> None:
-        """Encode and decode the words that are not remembered yet."""
-        if len(self.ids) > MEMORY:
-            self.ids.clear()
-            self.decoded.clear()
-        new = [w for w in words if w not in self.ids]
-        if not new:
-            return
-        raw = [b"" if w in self.special else w.encode("utf-8", "surrogatepass") for w in new]
-        symbols, lengths = merge(self.table, self.first[np.frombuffer(b"".join(raw), np.uint8)], np.array([len(r) for r in raw], np.int64))
-        flat, ends = symbols.tolist(), np.cumsum(lengths).tolist()
-        start, number, data = 0, self.number_text, self.token_bytes
-        for w, end in zip(new, ends):
-            ids = flat[start:end] or [self.special[w]]
-            self.ids[w] = ",".join([number[i] for i in ids])
-            self.decoded[w] = b"".join([data[i] for i in ids])
-            start = end
+    def learn(self, words: set[str]) -> dict[str, tuple[str, bytes]]:
+        """Ids and decoded bytes of the words; what isn't remembered is merged."""
+        new = self.memory.missing(words)
+        if new:
+            raw = [b"" if w in self.special else w.encode("utf-8", "surrogatepass") for w in new]
+            symbols, lengths = merge(self.table, self.first[np.frombuffer(b"".join(raw), np.uint8)], np.array([len(r) for r in raw], np.int64))
+            flat, ends = symbols.tolist(), np.cumsum(lengths).tolist()
+            start, number, data, values = 0, self.number_text, self.token_bytes, []
+            for w, end in zip(new, ends):
+                ids = flat[start:end] or [self.special[w]]
+                values.append((",".join([number[i] for i in ids]), b"".join([data[i] for i in ids])))
+                start = end
+            self.memory.put(new, values)
+        return self.memory.young
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of one text; null counts as empty."""
@@ -121,10 +110,11 @@ class Codec:
         """For each text: number of ids, ids as decimals joined by commas, and the
         text decoded from them."""
         cut = [self.pieces(t or "") for t in texts]
-        self.learn(set().union(*cut))
+        known = self.learn(set().union(*cut))
         for words in cut:
-            ids = ",".join(map(self.ids.__getitem__, words))
-            yield ids.count(",") + 1 if ids else 0, ids, b"".join(map(self.decoded.__getitem__, words)).decode("utf-8", "replace")
+            both = [known[w] for w in words]
+            ids = ",".join([x for x, _ in both])
+            yield ids.count(",") + 1 if ids else 0, ids, b"".join([x for _, x in both]).decode("utf-8", "replace")
 
 
 def encode_documents(df: DataFrame, path: str, text: str = "text", digest: bool = False) -> DataFrame:
@@ -135,23 +125,18 @@ def encode_documents(df: DataFrame, path: str, text: str = "text", digest: bool
 
     Null and empty texts have no ids and decode to ''. Very long texts are
     encoded whole; a run of texts is at most some MB unless one text is longer.
-    Columns of ``df`` with these names are replaced. Repeated rows are kept.
-    The vocabulary file must be at ``path`` on every executor.
+    Other columns stay as they are, columns with these names are replaced. Repeated
+    rows are kept; an empty table gives an empty one. The vocabulary file must be at
+    ``path`` on every executor.
     """
-    added = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["n_tokens", "ids", "decoded"]
-    own = df.drop(*added)
-    kinds = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
-    keep = [c for c in own.columns if c != text]
-    clean = own.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(text))
-    out = extended(clean, **{c: kinds[c] for c in added})
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, text):
-            n, ids, decoded = zip(*codec(path).run(texts))
-            if digest:
-                more = [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in ids]), pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in decoded])]
-            else:
-                more = [pa.array([[int(i) for i in x.split(",")] if x else [] for x in ids], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n, pa.int64()), *more], names=[*part.schema.names, *added])
-
-    return clean.mapInArrow(work, out)
+    kinds = {"n_tokens": "long"} | ({"ids_sha256": "string", "decoded_sha256": "string"} if digest else {"ids": "array<int>", "decoded": "string"})
+
+    def work(part: pa.RecordBatch, texts: list) -> list[pa.Array]:
+        n, ids, decoded = zip(*codec(path).run(texts))
+        if digest:
+            more = [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in ids]), pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in decoded])]
+        else:
+            more = [pa.array([[int(i) for i in x.split(",")] if x else [] for x in ids], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+        return [pa.array(n, pa.int64()), *more]
+
+    return mapped(df, text, work, **kinds)

@@ -6,7 +6,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,11 +23,13 @@ BROADCAST_IDS = 1_000_000
 def scratch(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, removed when Python ends.
 
-    Only where that setting is absent (tests on one machine) is a local
-    temporary folder used.
+    Only where that setting is absent and all of Spark is on this machine (tests) is
+    a local temporary folder used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.gettempdir()
     path = f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
@@ -99,3 +101,64 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2_000_00
             room += n
         part = batch.slice(start)
         yield part, part.column(column).to_pylist()
+
+
+def mapped(df: DataFrame, text: str, work: Callable[[pa.RecordBatch, list], list[pa.Array]], keep_text: bool = True, **kinds: str) -> DataFrame:
+    """``df`` with the columns ``kinds`` that ``work`` gives for runs of rows, from
+    their ``text`` as Python strings. Columns of ``df`` with these names are
+    replaced; others may have any names, dots and repeated ones included."""
+    own = df.drop(*kinds)
+    names = own.columns
+    at = next(i for i, c in enumerate(names) if c.lower() == text.lower())
+    plain = own.toDF(*[f"c{i}" for i in range(len(names))])
+    plain = plain.withColumn(f"c{at}", F.col(f"c{at}").cast("string"))
+    keep = [i for i in range(len(names)) if keep_text or i != at]
+    schema = extended(plain.select(*[f"c{i}" for i in keep]), **{f"r{i}": k for i, k in enumerate(kinds.values())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches, f"c{at}"):
+            yield pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], *work(part, texts)], names=schema.names)
+
+    return plain.mapInArrow(run, schema).toDF(*[names[i] for i in keep], *kinds)
+
+
+_held: list = [None, None]
+
+
+def held(key, make: Callable[[], object]):
+    """The one thing that this Python worker keeps between tasks. When another key
+    asks, the former is let go first: stages that follow each other in a reused
+    worker don't add up."""
+    if _held[0] != key:
+        _held[:] = [None, None]
+        _held[:] = [key, make()]
+    return _held[1]
+
+
+class Words:
+    """Values by word, bounded in bytes: of two generations the older is dropped when
+    the younger is full. What a run of texts asks for stays at hand until the next."""
+
+    def __init__(self, room: int = 40 << 20, value_bytes: int = 32):
+        self.room, self.value_bytes = room // 2, value_bytes + 140
+        self.young: dict = {}
+        self.old: dict = {}
+        self.size = 0
+
+    def missing(self, words: set[str]) -> list[str]:
+        """The words to be put; all others are in ``young`` from here on."""
+        if self.size > self.room:
+            self.old, self.young, self.size = self.young, {}, 0
+        young, old, new = self.young, self.old, []
+        for w in words:
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                    self.size += len(w) + self.value_bytes
+                else:
+                    new.append(w)
+        return new
+
+    def put(self, words: list[str], values: list) -> None:
+        self.young.update(zip(words, values))
+        self.size += sum(map(len, words)) + self.value_bytes * len(words)

@@ -1,254 +1,242 @@
 """Language of a text by a bidirectional gated recurrent network over bytes.
 
-The network reads a word's bytes (and the space after it) in both directions and
-labels every position with a language; a text pools the probabilities of all its
-positions. It is trained in numpy by backpropagation through time. A word always
-gets the same labels, so a Python worker runs the network once for each distinct
-word it meets and remembers the sums.
+The network (one gate a unit: the minimal gated unit) reads running text in both
+directions and labels every position with a language; a text pools the probabilities
+of all its positions. It is trained in numpy by backpropagation through time. Texts
+are read in windows that overlap: of each only the positions count that have
+``EDGE`` bytes of their text, or its end, on both sides. Nothing is remembered
+between texts.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections import Counter
+import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import crc_mod, extended, slices
+from .common import crc_mod, mapped, slices
 
-#: Bytes the network reads at once; longer words are read in several pieces.
-SPAN = 24
-#: Words a Python worker remembers before it starts anew.
-MEMORY = 1_000_000
+#: Bytes of a window whose labels count, and those read before and after them.
+CORE, EDGE = 200, 12
+#: Windows that the network reads at once.
+BATCH = 2048
 
-_memory: dict[str, "_Seen"] = {}
+_LETTER = re.compile(r"[^\W\d_]").search
 
 
-class _Seen:
-    def __init__(self, width: int):
-        self.index: dict[str, int] = {}
-        self.sums = np.zeros((1024, width), np.float32)
+def normal(text: str | None) -> bytes:
+    """Small letters in UTF-8, white space as single spaces, one at either end."""
+    return f" {' '.join((text or '').lower().split())} ".encode("utf-8", "surrogatepass").replace(b"\0", b" ")
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
-def pieces(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes (span x pieces, zero padded), length and word of every piece."""
-    raw, of = [], []
-    for i, w in enumerate(words):
-        b = w.encode("utf-8", "surrogatepass") + b" "
-        for a in range(0, len(b), SPAN):
-            raw.append(b[a : a + SPAN])
-            of.append(i)
-    size = np.array([len(r) for r in raw], np.int64)
-    out = np.frombuffer(b"".join([r.ljust(SPAN, b"\0") for r in raw]), np.uint8).reshape(-1, SPAN)
-    return np.ascontiguousarray(out.T), size, np.array(of, np.int64)
+def windows(texts: list[bytes], core: int = CORE, edge: int = EDGE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes (steps x windows; 0 outside the text), how many positions of each count,
+    and the text of each; the windows' cores cover every text exactly once."""
+    size = np.array([len(t) for t in texts], np.int64)
+    gap = edge + core
+    data = np.frombuffer(b"\0" * edge + b"".join([t + b"\0" * gap for t in texts]), np.uint8)
+    begin = edge + np.cumsum(size + gap) - (size + gap)
+    n = -(-size // core)
+    of = np.repeat(np.arange(len(texts)), n)
+    step = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    start = begin[of] + core * step
+    # Of the text after the core only ``edge`` bytes are read, of the next text none.
+    at = start[None] + np.arange(-edge, core + edge)[:, None]
+    return data[at], np.minimum(core, size[of] - core * step), of
 
 
 @dataclass
 class Network:
-    """Weights by name: per direction an input table (256 x 3H: update, reset, new),
-    and recurrent matrices; an output layer over both directions."""
+    """Weights by name. Per direction (f, b): input tables of the gate and of the new
+    state (256 x hidden), recurrent matrices of both; an output layer over both."""
 
     langs: list[str]
     w: dict[str, np.ndarray]
-    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     @staticmethod
     def fresh(langs: list[str], hidden: int, seed: int) -> "Network":
         rng = np.random.default_rng(seed)
-        normal = lambda *shape, s: (rng.standard_normal(shape) * s).astype(np.float32)
+        normal_ = lambda *shape, s: (rng.standard_normal(shape) * s).astype(np.float32)
         w = {}
         for d in "fb":
-            w[f"x{d}"] = normal(256, 3 * hidden, s=0.3)
-            w[f"u{d}"] = normal(hidden, 2 * hidden, s=hidden**-0.5)
-            w[f"v{d}"] = normal(hidden, hidden, s=hidden**-0.5)
-        w["o"] = normal(2 * hidden, len(langs), s=(2 * hidden) ** -0.5)
-        w["c"] = np.zeros(len(langs), np.float32)
+            w |= {f"z{d}": 0.5 + normal_(256, hidden, s=0.1), f"n{d}": normal_(256, hidden, s=0.3), f"u{d}": normal_(hidden, hidden, s=0.25 * hidden**-0.5), f"v{d}": normal_(hidden, hidden, s=hidden**-0.5)}
+        w |= {"o": normal_(2 * hidden, len(langs), s=(2 * hidden) ** -0.5), "c": np.zeros(len(langs), np.float32)}
         return Network(langs, w)
 
-    def _run(self, d: str, x: np.ndarray, live: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States (steps x pieces x H) of one direction, over bytes in its order."""
-        table, u, v = self.w[f"x{d}"], self.w[f"u{d}"], self.w[f"v{d}"]
-        n = v.shape[0]
-        h = np.zeros((x.shape[1], n), np.float32)
-        states = np.empty((*x.shape, n), np.float32)
-        for t in range(x.shape[0]):
-            g = table[x[t]]
-            zr = _sigmoid(g[:, : 2 * n] + h @ u)
-            z, r = zr[:, :n] * live[t][:, None], zr[:, n:]
-            new = np.tanh(g[:, 2 * n :] + (r * h) @ v)
+    def _run(self, d: str, x: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """States (steps x windows x hidden) over bytes in a direction's order. The
+        gate is clipped to 0 .. 1 instead of squashed."""
+        tz, tn, u, v = (self.w[k + d] for k in "znuv")
+        states = np.empty((*x.shape, v.shape[0]), v.dtype)
+        h = np.zeros(states.shape[1:], v.dtype)
+        z, n, m = np.empty_like(h), np.empty_like(h), np.empty_like(h)
+        for t in range(len(x)):
+            np.take(tz, x[t], 0, out=z, mode="clip")
+            np.matmul(h, u, out=m)
+            z += m
+            np.clip(z, 0, 1, out=z)
+            np.multiply(z, h, out=m)
+            np.take(tn, x[t], 0, out=n, mode="clip")
+            n += m @ v
+            np.tanh(n, out=n)
             if keep is not None:
-                keep.append((h, zr[:, :n], r, new))
-            h = h + z * (new - h)
-            states[t] = h
+                keep.append((h, z.copy(), n.copy()))
+            n -= h
+            n *= z
+            np.add(h, n, out=states[t])
+            h = states[t]
         return states
 
-    def _turn(self, size: np.ndarray, steps: int) -> np.ndarray:
-        """Index that reverses each piece within its own length."""
-        t = np.arange(steps)[:, None]
-        return np.where(t < size, size - 1 - t, t)
-
-    def _both(self, x: np.ndarray, size: np.ndarray, keep: dict | None = None):
-        steps = x.shape[0]
-        live = (np.arange(steps)[:, None] < size).astype(np.float32)
-        turn = self._turn(size, steps)
-        f = self._run("f", x, live, None if keep is None else keep.setdefault("f", []))
-        b = self._run("b", np.take_along_axis(x, turn, 0), live, None if keep is None else keep.setdefault("b", []))
-        states = np.concatenate([f, np.take_along_axis(b, turn[:, :, None], 0)], 2)
-        logit = states @ self.w["o"] + self.w["c"]
-        logit -= logit.max(2, keepdims=True)
-        np.exp(logit, out=logit)
-        logit /= logit.sum(2, keepdims=True)
-        return states, logit, live, turn
-
-    def sums(self, words: list[str]) -> np.ndarray:
-        """Of each word: the sum over its positions of each language's probability,
-        and the number of positions; zeros for a word without a letter."""
-        out = np.zeros((len(words), len(self.langs) + 1), np.float32)
-        own = [i for i, w in enumerate(words) if any(map(str.isalpha, w))]
-        x, size, of = pieces([words[i] for i in own]) if own else (np.zeros((SPAN, 0), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        order = np.argsort(size, kind="stable")
-        target = np.array(own, np.int64)
-        for a in range(0, len(order), 4096):
-            part = order[a : a + 4096]
-            steps = int(size[part].max())
-            _, p, live, _ = self._both(x[:steps, part], size[part])
-            total = (p * live[:, :, None]).sum(0)
-            np.add.at(out, target[of[part]], np.c_[total, size[part].astype(np.float32)])
+    def label(self, x: np.ndarray, keep: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """States of both directions, and each position's probabilities."""
+        f = self._run("f", x, None if keep is None else keep.setdefault("f", []))
+        b = self._run("b", x[::-1], None if keep is None else keep.setdefault("b", []))[::-1]
+        half = f.shape[2]
+        p = f.reshape(-1, half) @ self.w["o"][:half]
+        p += b.reshape(-1, half) @ self.w["o"][half:]
+        p += self.w["c"]
+        np.clip(p, -40, 40, out=p)
+        np.exp(p, out=p)
+        p /= p @ np.ones((p.shape[1], 1), p.dtype)
+        return f, b, p.reshape(*x.shape, -1)
+
+    def sums(self, texts: list[bytes]) -> np.ndarray:
+        """Sum over each text's positions of each language's probability."""
+        out = np.zeros((len(texts), len(self.langs)))
+        x, size, of = windows(texts)
+        for a in range(0, len(of), BATCH):
+            part = slice(a, a + BATCH)
+            p = self.label(np.ascontiguousarray(x[:, part]).astype(np.intp))[2][EDGE : EDGE + CORE]
+            if (short := np.flatnonzero(size[part] < CORE)).size:
+                p[:, short] *= (np.arange(CORE)[:, None] < size[part][short])[:, :, None]
+            total = p.sum(0, dtype=np.float64)
+            for k in range(out.shape[1]):
+                out[:, k] += np.bincount(of[part], total[:, k], len(texts))
         return out
 
-    def step(self, x: np.ndarray, size: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross-entropy over all positions, and its gradients by
+    def step(self, x: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross-entropy over the positions within texts, and its gradients by
         backpropagation through time."""
         keep: dict = {}
-        states, p, live, turn = self._both(x, size, keep)
-        n, count = self.w["vf"].shape[0], live.sum()
-        picked = np.take_along_axis(p, np.broadcast_to(label[None, :, None], (*x.shape, 1)), 2)[:, :, 0]
+        x = x.astype(np.intp)
+        f, b, p = self.label(x, keep)
+        live = (x > 0).astype(f.dtype)
+        count = max(live.sum(), 1)
+        columns = np.arange(x.shape[1])
+        picked = p[:, columns, label]
         loss = float(-(np.log(picked + 1e-12) * live).sum() / count)
         d = p.copy()
-        np.put_along_axis(d, np.broadcast_to(label[None, :, None], (*x.shape, 1)), picked[:, :, None] - 1, 2)
+        d[:, columns, label] -= 1
         d *= (live / count)[:, :, None]
-        grad = {"o": np.einsum("tbh,tbl->hl", states, d, optimize=True), "c": d.sum((0, 1))}
-        back = d @ self.w["o"].T
-        for name, dh_all, xs in (("f", back[:, :, :n], x), ("b", np.take_along_axis(back[:, :, n:], turn[:, :, None], 0), np.take_along_axis(x, turn, 0))):
-            u, v = self.w[f"u{name}"], self.w[f"v{name}"]
-            dx, du, dv = np.zeros_like(self.w[f"x{name}"]), np.zeros_like(u), np.zeros_like(v)
+        half = f.shape[2]
+        flat = d.reshape(-1, d.shape[2])
+        grad = {"o": np.concatenate([f.reshape(-1, half).T @ flat, b.reshape(-1, half).T @ flat]), "c": flat.sum(0)}
+        for name, part, xs, back in (("f", slice(0, half), x, d), ("b", slice(half, None), x[::-1], d[::-1])):
+            u, v, dh_all = self.w[f"u{name}"], self.w[f"v{name}"], back @ self.w["o"][part].T
+            du, dv = np.zeros_like(u), np.zeros_like(v)
+            dz_all, dn_all = np.empty_like(dh_all), np.empty_like(dh_all)
             dh = np.zeros_like(dh_all[0])
-            for t in range(x.shape[0] - 1, -1, -1):
-                h, z, r, new = keep[name][t]
+            for t in range(len(xs) - 1, -1, -1):
+                h, z, n = keep[name][t]
                 dh = dh + dh_all[t]
-                mask = live[t][:, None]
-                zm = z * mask
-                dnew = dh * zm * (1 - new * new)
-                dz = dh * (new - h) * mask * z * (1 - z)
-                drh = dnew @ v.T
-                dr = drh * h * r * (1 - r)
-                dzr = np.concatenate([dz, dr], 1)
-                dv += (r * h).T @ dnew
-                du += h.T @ dzr
-                np.add.at(dx, xs[t], np.concatenate([dzr, dnew], 1))
-                dh = dh * (1 - zm) + drh * r + dzr @ u.T
-            grad |= {f"x{name}": dx, f"u{name}": du, f"v{name}": dv}
+                dn = dh * z * (1 - n * n)
+                dm = dn @ v.T
+                dz = (dh * (n - h) + dm * h) * ((z > 0) & (z < 1))
+                dv += (z * h).T @ dn
+                du += h.T @ dz
+                dz_all[t], dn_all[t] = dz, dn
+                dh = dh * (1 - z) + dm * z + dz @ u.T
+            order = np.argsort(xs.ravel(), kind="stable")
+            byte = xs.ravel()[order]
+            first = np.flatnonzero(np.r_[True, byte[1:] != byte[:-1]])
+            for key, all_ in (("z", dz_all), ("n", dn_all)):
+                table = np.zeros_like(self.w[key + name])
+                table[byte[first]] = np.add.reduceat(all_.reshape(-1, half)[order], first)
+                grad[key + name] = table
+            grad |= {f"u{name}": du, f"v{name}": dv}
         return loss, grad
 
-    def fit(self, words: list[str], label: np.ndarray, weight: np.ndarray, steps: int, batch: int, rate: float, seed: int) -> float:
-        """Adam over batches of word pieces drawn by weight; the last loss."""
-        x, size, of = pieces(words)
-        label, chance = label[of], weight[of] / weight[of].sum()
+    def fit(self, x: np.ndarray, label: np.ndarray, weight: np.ndarray, steps: int, batch: int, rate: float, seed: int) -> float:
+        """Adam over batches of windows drawn by weight; the last loss."""
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.w.items()}
         second = {k: np.zeros_like(v) for k, v in self.w.items()}
         loss = np.nan
-        draws = rng.choice(len(of), size=(steps, batch), p=chance)
-        for i, part in enumerate(draws, 1):
-            loss, grad = self.step(x[: int(size[part].max()), part], size[part], label[part])
+        for i, part in enumerate(rng.choice(x.shape[1], size=(steps, batch), p=weight / weight.sum()), 1):
+            loss, grad = self.step(x[:, part], label[part])
             pace = rate * min(1.0, 2.0 * (1 - i / (steps + 1)))
             for k, g in grad.items():
                 first[k] += 0.1 * (g - first[k])
                 second[k] += 0.01 * (g * g - second[k])
-                self.w[k] -= (pace * (first[k] / (1 - 0.9**i)) / (np.sqrt(second[k] / (1 - 0.99**i)) + 1e-8)).astype(np.float32)
+                self.w[k] -= (pace * (first[k] / (1 - 0.9**i)) / (np.sqrt(second[k] / (1 - 0.99**i)) + 1e-8)).astype(self.w[k].dtype)
         return loss
 
     def pool(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and pooled probability of each text; ``und`` and 0 for a null
-        text or one without a letter."""
-        if self.key not in _memory:
-            _memory.clear()
-            _memory[self.key] = _Seen(len(self.langs) + 1)
-        seen = _memory[self.key]
-        if len(seen.index) > MEMORY:
-            seen.index.clear()
-        cut = [(t or "").lower().split() for t in texts]
-        new = [w for w in set().union(*cut) if w not in seen.index]
-        start = len(seen.index)
-        if start + len(new) > len(seen.sums):
-            seen.sums = np.concatenate([seen.sums[:start], np.zeros((len(new) + start + 1024, seen.sums.shape[1]), np.float32)])
-        seen.sums[start : start + len(new)] = self.sums(new)
-        seen.index.update(zip(new, range(start, start + len(new))))
-        lang, score = [], np.zeros(len(texts))
-        for i, words in enumerate(cut):
-            total = seen.sums[np.fromiter(map(seen.index.__getitem__, words), np.int64, len(words))].sum(0, dtype=np.float64)
-            if total[-1] > 0 and self.langs:
-                best = int(total[:-1].argmax())
-                lang.append(self.langs[best])
-                score[i] = min(1.0, total[best] / total[-1])
-            else:
-                lang.append("und")
+        text or one without a letter, and if the network knows no language."""
+        lang, score = ["und"] * len(texts), np.zeros(len(texts))
+        own = [i for i, t in enumerate(texts) if t and _LETTER(t)] if self.langs else []
+        read = [normal(texts[i]) for i in own]
+        if own:
+            total = self.sums(read)
+            best = total.argmax(1)
+            score[own] = np.minimum(1.0, total[np.arange(len(own)), best] / np.array([len(b) for b in read]))
+            for i, k in zip(own, best.tolist()):
+                lang[i] = self.langs[k]
         return lang, score
 
 
-def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = 400, words_per_lang: int = 20_000, hidden: int = 12, steps: int = 200, batch: int = 512, rate: float = 0.03, seed: int = 1) -> Network:
+def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = 400, windows_per_doc: int = 8, span: int = 56, hidden: int = 8, steps: int = 150, batch: int = 256, rate: float = 0.02, seed: int = 1) -> Network:
     """Fit on rows with a text and a language whose crc32(doc_id) modulo 4 is not 2.
 
-    At most ``docs_per_lang`` documents of a language, the first by a hash of
-    doc_id, and ``words_per_lang`` of their distinct words, the first by a hash,
-    are used. Null languages, ids and texts are skipped; without any row all
-    texts are ``und``.
+    The sample: documents of a language are drawn by a hash with the chance that
+    gives ``docs_per_lang`` of them (all, if fewer), and of each ``windows_per_doc``
+    windows of ``span`` bytes, spread evenly over the whole text. A batch draws all
+    languages alike. Null languages, ids and texts are skipped; rows that repeat a
+    doc_id are drawn by their texts; without any row all texts are ``und``.
     """
     rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).where("text is not null and lang is not null and doc_id is not null").where(crc_mod("doc_id", 4) != 2)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= docs_per_lang).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
-    rows = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("text", "lang")
+    counts = dict(rows.groupBy("lang").count().collect())
+    chance = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, docs_per_lang / n)))])[F.col("lang")] if counts else F.lit(0.0)
+    unit = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = rows.where(unit < chance).select("text", "lang")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "text"):
-            found: dict[str, Counter] = {}
+            found, label = [], []
             for t, l in zip(texts, part.column("lang").to_pylist()):
-                found.setdefault(l, Counter()).update([w for w in t.lower().split() if any(map(str.isalpha, w))])
-            for l, c in found.items():
-                yield pa.RecordBatch.from_arrays([pa.array([l] * len(c), pa.string()), pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], names=["lang", "word", "n"])
-
-    words = rows.mapInArrow(work, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("word"), "word")
-    table = words.withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= words_per_lang).select("lang", "word", "n").toArrow().to_pandas().sort_values(["lang", "word"])
+                if _LETTER(t):
+                    b = b"\0" * EDGE + normal(t) + b"\0" * max(EDGE, span - len(t))
+                    for a in sorted({round(k * (len(b) - span) / windows_per_doc) for k in range(windows_per_doc)}):
+                        found.append(b[a : a + span])
+                        label.append(l)
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.string()), pa.array(found, pa.binary())], names=["lang", "window"])
+
+    table = drawn.mapInArrow(work, "lang string, window binary").toArrow().to_pandas().sort_values(["lang", "window"])
     langs = sorted(table.lang.unique())
     net = Network.fresh(langs, hidden, seed)
     if langs:
+        x = np.frombuffer(b"".join(table.window), np.uint8).reshape(-1, span).T
         label = table.lang.map({l: i for i, l in enumerate(langs)}).to_numpy(np.int64)
-        weight = np.sqrt(table.n.to_numpy(float))
-        weight /= np.bincount(label, weight)[label]
-        net.fit(table.word.tolist(), label, weight, steps, batch, rate, seed)
+        net.fit(np.ascontiguousarray(x), label, 1.0 / np.bincount(label)[label], steps, batch, rate, seed)
     return net
 
 
 def identify(df: DataFrame, net: Network, text: str = "text") -> DataFrame:
     """``df`` with ``lang_pred`` and ``score`` (0 to 1) of each whole text.
 
-    A null text, and one without a letter, is ``und`` with score 0. Columns of
-    ``df`` with these names are replaced; repeated rows get the same.
+    A null text, and one without a letter, is ``und`` with score 0; of equal sums the
+    first language by name is taken. Very long texts are read whole, some MB at a
+    time. Other columns stay as they are, columns with the results' names are
+    replaced, repeated rows get the same, an empty table gives an empty one.
     """
-    own = df.drop("lang_pred", "score").withColumn(text, F.col(f"`{text}`").cast("string"))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, text):
-            lang, score = net.pool(texts)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*part.schema.names, "lang_pred", "score"])
+    def work(part: pa.RecordBatch, texts: list) -> list[pa.Array]:
+        lang, score = net.pool(texts)
+        return [pa.array(lang, pa.string()), pa.array(score)]
 
-    return own.mapInArrow(work, extended(own, lang_pred="string", score="double"))
+    return mapped(df, text, work, lang_pred="string", score="double")

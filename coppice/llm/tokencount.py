@@ -9,30 +9,22 @@ cut before each run of spaces, which no merge of the model can cross.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from .bpe_core import PairTable, merge
-from .common import extended, slices
+from .common import Words, held, mapped
 
 #: The letter that stands for a space inside pieces.
 BAR = "▁"
 
-#: Pre-tokens a Python worker remembers before it starts anew (some 170 bytes each).
-MEMORY = 1_200_000
-
-_counters: dict[str, "Counter"] = {}
-
 
 def counter(path: str) -> "Counter":
     """The counter of this Python worker: what it has counted serves later tasks."""
-    if path not in _counters:
-        _counters[path] = Counter(path)
-    return _counters[path]
+    return held(("tokens", path), lambda: Counter(path))
+
 
 #: Texts whose normalised form shows whether the model's normaliser only marks spaces.
 PROBES = ["a", " a  b ", "ﬁ Ａ́é　x", "A\tb\r\n\nc", "①­​\u0000\u001f.", "ẛ̣ ﷺ"]
@@ -70,14 +62,13 @@ class Counter:
         self.points = np.array([ord(c) for c in singles], np.int64)  # sorted; symbol i is the letter i
         line = "" if any("\n" in p for p in pieces) else "\n"
         self.split = re.compile(f"{BAR}+[^{BAR}{line}]*|[^{BAR}{line}]+" + (line and f"|{line}+")).findall
-        self.seen: dict[str, int] = {}
+        self.memory = Words()
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.seen) > MEMORY:
-            self.seen.clear()
-        new = [w for w in words if w not in self.seen]
+    def learn(self, words: set[str]) -> dict[str, int]:
+        """Number of tokens of the words; what isn't remembered is merged."""
+        new = self.memory.missing(words)
         if not new:
-            return
+            return self.memory.young
         points = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
         known = self.points[at] == points
@@ -89,7 +80,8 @@ class Counter:
         owner = np.repeat(np.arange(len(new)), kept)
         whole = symbols >= 0
         total += np.bincount(owner[whole], self.cost[symbols[whole]], len(new)).astype(np.int64)
-        self.seen.update(zip(new, total.tolist()))
+        self.memory.put(new, total.tolist())
+        return self.memory.young
 
     def words(self, text: str | None) -> list[str]:
         if not text:
@@ -99,8 +91,8 @@ class Counter:
     def run(self, texts: list[str | None]) -> list[int]:
         """Number of tokens of each text; null counts as empty."""
         cut = [self.words(t) for t in texts]
-        self.learn(set().union(*cut))
-        return [sum(map(self.seen.__getitem__, words)) for words in cut]
+        known = self.learn(set().union(*cut))
+        return [sum(map(known.__getitem__, words)) for words in cut]
 
 
 def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = 4096) -> DataFrame:
@@ -108,19 +100,14 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = 4096
     to every row of ``df``; the text itself is left out of the result.
 
     Null and empty texts have no bytes and no tokens. Very long texts are counted
-    whole. Columns of ``df`` with these names are replaced; repeated rows are kept.
-    The model file must be at ``path`` on every executor.
+    whole. Other columns stay as they are, columns with these names are replaced;
+    repeated rows are kept; an empty table gives an empty one. The model file must be
+    at ``path`` on every executor.
     """
-    own = df.drop("n_bytes", "n_tokens", "over_limit")
-    keep = [c for c in own.columns if c != text]
-    clean = own.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(text))
-    out = extended(own.select(*[F.col(f"`{c}`") for c in keep]), n_bytes="long", n_tokens="long", over_limit="boolean")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, text):
-            n = np.array(counter(path).run(texts), np.int64)
-            size = pc.fill_null(pc.binary_length(part.column(text)), 0).cast(pa.int64())
-            columns = [part.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*columns, size, pa.array(n), pa.array(n > limit)], names=out.names)
-
-    return clean.mapInArrow(work, out)
+
+    def work(part: pa.RecordBatch, texts: list) -> list[pa.Array]:
+        n = np.array(counter(path).run(texts), np.int64)
+        size = pa.array([len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts], pa.int64())
+        return [size, pa.array(n), pa.array(n > limit)]
+
+    return mapped(df, text, work, keep_text=False, n_bytes="long", n_tokens="long", over_limit="boolean")

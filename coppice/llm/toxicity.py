@@ -4,9 +4,11 @@ Two models of the next letter after seven, one counted on toxic and one on ordin
 texts, interpolate by absolute discounting with the same lower orders, Kneser-Ney
 continuation counts of both classes together. An n-gram that neither class has
 seen thus backs off to the same probability in both, and rare expressions carry
-little evidence. An expression (a word) scores the log-likelihood ratio per
-letter; a text is judged by its three highest expressions, its mean and its
-length, by a logistic function that is fitted to texts as models see them that didn't count them.
+little evidence. An expression (a word) scores its length-normalised log-likelihood under
+the toxic model less that under the ordinary one; a text is judged by its three
+highest expressions, its mean and its length, by a logistic function that is fitted
+to texts as models see them that didn't count them. The whole text's mean alone, and
+n-grams that run on over the spaces between words, give worse results (README).
 """
 
 from __future__ import annotations
@@ -20,38 +22,45 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import crc_mod, extended, slices
+from .common import Words, crc_mod, held, mapped, slices
 
 ORDER = 8
-_BITS = 7
-_START, _END = 1, 2
+#: Codes of letters; ``ORDER`` of them make one number below 2^63.
+CODES = 232
+_START, _END, _OTHER, _FIRST = 0, 1, 2, 3
 _EDGE = "\"'`.,;:!?()[]{}<>«»„“”‘’…*#$%&|~_-+=/\\^"
-#: Words a Python worker remembers before it starts anew (some 150 bytes each).
-MEMORY = 1_000_000
 FEATURES = 5
 
-_memory: dict[str, dict[str, float]] = {}
-
 
 def expressions(text: str) -> list[str]:
     return text.lower().split()
 
 
-def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def code_table(letters: str) -> np.ndarray:
+    """Code of each code point: the most frequent letters have one of their own (of
+    equals the first by code point), all others share one."""
+    count = Counter(letters)
+    frequent = sorted(count, key=lambda c: (-count[c], c))[: CODES - _FIRST]
+    table = np.full(0x110000, _OTHER, np.uint8)
+    table[np.array([ord(c) for c in frequent], np.int64)] = _FIRST + np.arange(len(frequent))
+    return table
+
+
+def grams(words: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of ``ORDER`` letters, as numbers, that end at each letter and at
     the end of each word; and the word of each."""
     words = [w.strip(_EDGE) or w for w in words]
     size = np.array([len(w) for w in words], np.int64)
-    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
     room = size + ORDER
     ends = np.cumsum(room)
     code = np.full(int(ends[-1]) if len(ends) else 0, _START, np.int64)
     code[ends - 1] = _END
     owner = np.repeat(np.arange(len(words)), size)
-    code[np.arange(len(points)) + ORDER * owner + ORDER - 1] = 3 + points % 125
+    code[np.arange(len(points)) + ORDER * owner + ORDER - 1] = table[points]
     gram = np.zeros(max(len(code) - ORDER + 1, 0), np.int64)
     for j in range(ORDER):
-        gram = (gram << _BITS) | code[j : j + len(gram)]
+        gram = gram * CODES + code[j : j + len(gram)]
     of = np.repeat(np.arange(len(words)), room)
     inside = of[: len(gram)] == of[ORDER - 1 :] if len(gram) else np.zeros(0, bool)
     return gram[inside], of[: len(gram)][inside]
@@ -75,6 +84,7 @@ class Model:
     """Log-likelihood ratio of every n-gram that was counted, and of any other letter
     after every context that was seen; the logistic function over the features."""
 
+    table: np.ndarray
     gram: np.ndarray
     ratio: np.ndarray
     context: np.ndarray
@@ -84,57 +94,51 @@ class Model:
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     @staticmethod
-    def fit(gram: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray, discount: float = 0.75) -> "Model":
+    def fit(table: np.ndarray, gram: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray, discount: float = 0.75) -> "Model":
         order = np.argsort(gram)
         gram, counts = gram[order], [np.asarray(ordinary, float)[order], np.asarray(toxic, float)[order]]
         # Shared lower orders: continuation counts, from the shortest context up.
-        cut = lambda n: (1 << (_BITS * n)) - 1
         levels = {}
         distinct = gram
         for n in range(ORDER - 1, 0, -1):
-            ending, kinds = _totals(distinct & cut(n), np.ones(len(distinct)))
+            ending, kinds = _totals(distinct % CODES**n, np.ones(len(distinct)))
             levels[n] = (ending, kinds)
             distinct = ending
-        shared = np.full(len(gram), 1 / (1 << _BITS))
+        shared = np.full(len(gram), 1 / CODES)
         for n in range(1, ORDER):
             ending, kinds = levels[n]
-            context, total, branch = _totals(ending >> _BITS, kinds, np.ones(len(kinds)))
-            mine = gram & cut(n)
+            context, total, branch = _totals(ending // CODES, kinds, np.ones(len(kinds)))
+            mine = gram % CODES**n
             c = _get(ending, kinds, mine)
-            t, b = _get(context, total, mine >> _BITS), _get(context, branch, mine >> _BITS)
+            t, b = _get(context, total, mine // CODES), _get(context, branch, mine // CODES)
             shared = (np.maximum(c - discount, 0) + discount * b * shared) / np.maximum(t, 1)
         logs, left = [], []
-        context = np.unique(gram >> _BITS)
+        context = np.unique(gram // CODES)
         for c in counts:
-            _, total, branch = _totals(gram >> _BITS, c, (c > 0).astype(float))
+            _, total, branch = _totals(gram // CODES, c, (c > 0).astype(float))
             rest = np.where(total > 0, discount * branch / np.maximum(total, 1), 1.0)
-            at = np.searchsorted(context, gram >> _BITS)
+            at = np.searchsorted(context, gram // CODES)
             own = np.where(total[at] > 0, np.maximum(c - discount, 0) / np.maximum(total[at], 1), 0)
             logs.append(np.log(own + rest[at] * shared))
             left.append(np.log(rest))
-        return Model(gram, logs[1] - logs[0], context, left[1] - left[0])
+        return Model(table, gram, (logs[1] - logs[0]).astype(np.float32), context, (left[1] - left[0]).astype(np.float32))
 
     def ratios(self, words: list[str]) -> np.ndarray:
         """Log-likelihood ratio per letter of each word."""
-        gram, of = grams(words)
+        gram, of = grams(words, self.table)
         if not len(self.gram) or not len(gram):
             return np.zeros(len(words))
         value = _get(self.gram, self.ratio, gram, np.nan)
         miss = np.flatnonzero(np.isnan(value))
-        value[miss] = _get(self.context, self.unseen, gram[miss] >> _BITS)
+        value[miss] = _get(self.context, self.unseen, gram[miss] // CODES)
         return np.bincount(of, value, len(words)) / np.bincount(of, minlength=len(words))
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        if self.key not in _memory:
-            if len(_memory) > 1:  # two models take turns while one is trained
-                _memory.clear()
-            _memory[self.key] = {}
-        seen = _memory[self.key]
-        if len(seen) > MEMORY:
-            seen.clear()
+        memory = held(("toxicity", self.key), Words)
         cut = [expressions(t or "") for t in texts]
-        new = [w for w in set().union(*cut) if w not in seen]
-        seen.update(zip(new, self.ratios(new).tolist()))
+        new = memory.missing(set().union(*cut))
+        memory.put(new, self.ratios(new).tolist())
+        seen = memory.young
         out = np.zeros((len(texts), FEATURES))
         for i, words in enumerate(cut):
             if n := len(words):
@@ -154,7 +158,8 @@ class Model:
         if len(set(toxic.tolist())) < 2:
             self.weights, self.bias = np.zeros(FEATURES), 2.0 if len(toxic) and toxic[0] else -2.0
             return
-        mean, scale = features.mean(0), features.std(0) + 1e-9
+        mean, scale = features.mean(0), features.std(0)
+        scale[scale < 1e-6] = np.inf  # what is alike in all tells nothing
         x = np.c_[(features - mean) / scale, np.ones(len(features))]
         w = np.zeros(x.shape[1])
         for _ in range(30):
@@ -165,15 +170,14 @@ class Model:
         self.weights, self.bias = w[:-1] / scale, float(w[-1] - (w[:-1] * mean / scale).sum())
 
 
-def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_toxic: int = 6000, max_ordinary: int = 12000, max_grams: int = 600_000, least: int = 2) -> Model:
+def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_toxic: int = 6000, max_ordinary: int = 12000) -> Model:
     """Fit on labelled rows (``labels``: doc_id, toxic 0 or 1) whose crc32(doc_id)
     modulo 5 is not 0.
 
     At most ``max_toxic`` and ``max_ordinary`` rows are used, the first by a hash
-    of doc_id; the logistic function is fitted to both halves of them, each judged
-    by models of the other half. An n-gram counts
-    once for each text that has it; the ``max_grams`` most frequent with at least
-    ``least`` are kept, so the model is bounded. A doc_id labelled twice is toxic
+    of doc_id, which bounds the model too: all their n-grams are counted, each once
+    for every text that has it. The logistic function is fitted to both halves of the
+    rows, each judged by models of the other half. A doc_id labelled twice is toxic
     if any label says so. Null labels, ids and texts are skipped; without both
     classes every score is the same.
     """
@@ -185,24 +189,33 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     rows = rows.persist()
     names = ["c00", "c01", "c10", "c11"]  # by half and class
 
+    def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in slices(batches, "text"):
+            found = Counter()
+            for t in texts:
+                found.update("".join(expressions(t)))
+            yield pa.RecordBatch.from_arrays([pa.array([ord(c) for c in found], pa.int64()), pa.array(found.values(), pa.int64())], names=["point", "n"])
+
+    often = rows.mapInArrow(letters, "point long, n long").groupBy("point").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "point").limit(CODES - _FIRST).collect()
+    table = code_table("".join(chr(r.point) for r in often))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "text"):
             words = [Counter() for _ in names]
             for t, x, half in zip(texts, part.column("_toxic").to_pylist(), part.column("_half").to_pylist()):
                 words[2 * half + bool(x)].update(set(expressions(t)))
             every = list(set().union(*words))
-            gram, of = grams(every)
+            gram, of = grams(every, table)
             n = [np.array([w[b] for b in every], float)[of] if every else np.zeros(0) for w in words]
             keys, *c = _totals(gram, *n)
             yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, c)], names=["gram", *names])
 
     counts = rows.mapInArrow(count, "gram long, " + ", ".join(f"{c} double" for c in names)).groupBy("gram").agg(*[F.sum(c).alias(c) for c in names])
-    total = sum([F.col(c) for c in names[1:]], F.col(names[0]))
-    table = counts.where(total >= least).orderBy(F.desc(total), "gram").limit(max_grams).toArrow().to_pandas()
-    gram, (c00, c01, c10, c11) = table.gram.to_numpy(np.int64), (table[c].to_numpy(float) for c in names)
-    model = Model.fit(gram, c00 + c10, c01 + c11)
+    found = counts.toArrow()
+    gram, c00, c01, c10, c11 = (found.column(c).to_numpy() for c in ["gram", *names])
+    model = Model.fit(table, gram, c00 + c10, c01 + c11)
     # Each half is judged by the model that was counted on the other one.
-    halves = [Model.fit(gram[m], o[m], t[m]) for o, t in ((c10, c11), (c00, c01)) if (m := o + t > 0) is not None]
+    halves = [Model.fit(table, gram[m], o[m], t[m]) for o, t in ((c10, c11), (c00, c01)) if (m := o + t > 0) is not None]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "text"):
@@ -213,23 +226,22 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                     x[at] = halves[h].features([texts[i] for i in at])
             yield pa.RecordBatch.from_arrays([part.column("_toxic"), *[pa.array(c) for c in x.T]], names=["toxic", *[f"f{i}" for i in range(FEATURES)]])
 
-    held = rows.mapInArrow(judge, "toxic int, " + ", ".join(f"f{i} double" for i in range(FEATURES))).toArrow().to_pandas()
+    seen = rows.mapInArrow(judge, "toxic int, " + ", ".join(f"f{i} double" for i in range(FEATURES))).toArrow().to_pandas()
     rows.unpersist()
-    model.calibrate(held.drop(columns="toxic").to_numpy(float), held.toxic.to_numpy(float))
+    model.calibrate(seen.drop(columns="toxic").to_numpy(float), seen.toxic.to_numpy(float))
     return model
 
 
 def score(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """``df`` with ``score`` (0 to 1) and ``predicted`` (1 if score >= threshold).
 
-    Null texts and texts of white space score 0. Whole texts are scored. Columns
-    of ``df`` with these names are replaced; repeated rows score alike.
+    Null texts and texts of white space score 0. Whole texts are scored, very long
+    ones alone. Other columns stay as they are, columns with the results' names are
+    replaced; repeated rows score alike; an empty table gives an empty one.
     """
-    own = df.drop("score", "predicted").withColumn(text, F.col(f"`{text}`").cast("string"))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, text):
-            s = model.scores(texts)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
+    def work(part: pa.RecordBatch, texts: list) -> list[pa.Array]:
+        s = model.scores(texts)
+        return [pa.array(s), pa.array((s >= threshold).astype(np.int32))]
 
-    return own.mapInArrow(work, extended(own, score="double", predicted="int"))
+    return mapped(df, text, work, score="double", predicted="int")
