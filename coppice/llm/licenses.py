@@ -23,6 +23,7 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import unused
 from .rules import let
 
 # The cues, and for each family the notices that name it.

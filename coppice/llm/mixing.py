@@ -18,6 +18,8 @@ BROADCAST_SOURCES = 10_000
 #: A Poisson mean above this is the sum of several smaller ones.
 PART = 32.0
 _SALTS = 64
+#: Up to so many repeated ids are listed in the plan.
+LISTED = 10_000
 
 
 def rates(df: DataFrame, weights: dict[str | None, float] | None, epochs: float, source: str, text: str) -> DataFrame:
@@ -49,16 +51,42 @@ def cumulative(mean: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), start, more, lambda s: s["c"])
 
 
+def draw_key(own: DataFrame, doc_id: str) -> Column:
+    """The text by which a row draws: its id, where no other row has it; else the id and
+    the row's place in the table as it is read. Beyond ``LISTED`` repeated ids every row
+    draws by its place too."""
+    again = own.groupBy(doc_id).agg(F.count("*").alias("n")).where("n > 1")
+    found = [r[0] for r in again.select(doc_id).limit(LISTED + 1).collect()]
+    plain = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+    if not found:
+        return plain
+    placed = F.concat(plain, F.lit("#"), F.monotonically_increasing_id().cast("string"))
+    if len(found) > LISTED:
+        return placed
+    named = [x for x in found if x is not None]
+    repeated = F.col(doc_id).isin(named) if named else F.lit(False)
+    if None in found:
+        repeated = repeated | F.col(doc_id).isNull()
+    return F.when(F.coalesce(repeated, F.lit(False)), placed).otherwise(plain)
+
+
 def mix(df: DataFrame, weights: dict[str | None, float] | None = None, epochs: float = 1.0, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 1) -> DataFrame:
     """The rows of ``df``, each as often as its Poisson count says, shuffled
     globally; with ``copy_no`` (1, 2, ...), ``rate`` and ``shuffle_key``.
 
     A null source is a source of its own. A document with a null or empty text is
-    replicated like others of its source. Rows that repeat a doc_id get the same
-    count; a null doc_id counts as ''. An empty table gives an empty one. Columns
-    of ``df`` named copy_no, rate or shuffle_key are replaced.
+    replicated like others of its source, a very long one too. Of rows that repeat a
+    doc_id (or have none) each draws for itself, by its place in the table as well. An
+    empty table gives an empty one. Columns of ``df`` named copy_no, rate or
+    shuffle_key are replaced; others may have any names.
     """
     own = df.drop("copy_no", "rate", "shuffle_key")
+    names = own.columns
+    at = lambda c: f"c{next(i for i, n in enumerate(names) if n.lower() == c.lower())}"
+    doc_id, source, text = at(doc_id), at(source), at(text)
+    own = own.toDF(*[f"c{i}" for i in range(len(names))])
+    shown = own.columns
+    own = own.withColumn("_key", draw_key(own, doc_id))
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int")
     table = rates(own, weights, epochs, source, text).withColumn("_parts", parts).withColumn("_cdf", cumulative(F.col("rate") / F.col("_parts")))
     if table.count() <= BROADCAST_SOURCES:
@@ -66,15 +94,15 @@ def mix(df: DataFrame, weights: dict[str | None, float] | None = None, epochs: f
     else:
         # Many sources: a shuffled join, over salts so that a large source is spread.
         salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-        rows = own.withColumn("_row_salt", F.pmod(F.xxhash64(F.col(f"`{doc_id}`")), F.lit(_SALTS)).cast("int"))
+        rows = own.withColumn("_row_salt", F.pmod(F.xxhash64("_key"), F.lit(_SALTS)).cast("int"))
         joined = rows.join(salted, F.col(f"`{source}`").eqNullSafe(F.col("_source")) & (F.col("_row_salt") == F.col("_salt"))).drop("_salt", "_row_salt")
-    one = lambda j: F.size(F.filter(F.col("_cdf"), lambda c: c <= hashed_unit(F.col(f"`{doc_id}`"), F.lit(seed), j)))
+    one = lambda j: F.size(F.filter(F.col("_cdf"), lambda c: c <= hashed_unit(F.col("_key"), F.lit(seed), j)))
     # One uniform number for a mean up to PART, one for each part beyond.
-    u = hashed_unit(F.col(f"`{doc_id}`"), F.lit(seed), F.lit(1))
+    u = hashed_unit(F.col("_key"), F.lit(seed), F.lit(1))
     single = F.aggregate(F.col("_cdf"), F.struct(u.alias("u"), F.lit(0).alias("n")), lambda s, c: F.struct(s["u"].alias("u"), (s["n"] + (c <= s["u"]).cast("int")).alias("n")), lambda s: s["n"])
     several = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("_parts")), one), F.lit(0), lambda a, b: a + b)
     counted = joined.withColumn("_n", F.when(F.col("_parts") == 1, single).otherwise(several)).where("_n > 0")
     copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    keyed = copies.withColumn("shuffle_key", hashed_unit(F.col(f"`{doc_id}`"), F.lit(seed), F.lit("order"), F.col("copy_no")))
-    out = keyed.select(*[F.col(f"`{c}`") for c in own.columns], "copy_no", "rate", "shuffle_key")
-    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    keyed = copies.withColumn("shuffle_key", hashed_unit(F.col("_key"), F.lit(seed), F.lit("order"), F.col("copy_no")))
+    out = keyed.select(*shown, "copy_no", "rate", "shuffle_key")
+    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key").toDF(*names, "copy_no", "rate", "shuffle_key")

@@ -30,6 +30,8 @@ from .graph import components
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _RUN = 1 << 21
+#: Bytes of sets of shingles that a task of verification remembers.
+_ROOM = 32 << 20
 #: Shingles in more rows of a task than this are compared by products of matrices,
 #: so many columns at a time.
 _RARE, _COLUMNS = 24, 4096
@@ -117,12 +119,16 @@ def similarities(pairs: DataFrame, texts: DataFrame, words: int, least: float) -
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple, np.ndarray] = {}  # the sets of latest texts; an id may have several texts
+        size = 0
 
         def shingle_set(key: tuple, data: np.ndarray) -> np.ndarray:
+            nonlocal size
             if key not in seen:
-                if len(seen) >= 2000:
+                if size > _ROOM:
                     seen.clear()
+                    size = 0
                 seen[key] = flat.shingles(*flat.words(data, np.array([0, len(data)])), words)[1]
+                size += seen[key].nbytes + 200
             return seen[key]
 
         for batch in batches:

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACES
+from .common import SPACES, unused
 
 _GAP = r"[\x20\x09-\x0D]+"
 #: Fixed value: the characters that count as symbols.
@@ -83,9 +83,10 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     line_counts = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
     word_counts = let(words_of(t), lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("chars"), repeated_words(w).alias("repeat")))
-    out = df.drop(*names).withColumns({"_w": word_counts, "_l": line_counts, "n_symbols": symbols.cast("long")})
-    long = {"n_words": "_w.n", "word_chars": "_w.chars", "n_lines": "_l.n", "n_dup_lines": "_l.dup", "n_repeat_words": "_w.repeat"}
-    return out.withColumns({k: F.col(v).cast("long") for k, v in long.items()}).drop("_w", "_l")
+    w, l = unused(df, "_w", "_l")
+    out = df.drop(*names).withColumns({w: word_counts, l: line_counts, "n_symbols": symbols.cast("long")})
+    long = {"n_words": f"{w}.n", "word_chars": f"{w}.chars", "n_lines": f"{l}.n", "n_dup_lines": f"{l}.dup", "n_repeat_words": f"{w}.repeat"}
+    return out.withColumns({k: F.col(v).cast("long") for k, v in long.items()}).drop(w, l)
 
 
 def alone(text: str = "text") -> dict[str, Column]:
@@ -153,11 +154,12 @@ def verdict(rules: list[Rule]) -> Column:
     return out
 
 
-def cascade(df: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = 1000) -> DataFrame:
+def cascade(df: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = 400) -> DataFrame:
     """Add the measures and ``failed_rule`` (null: kept) by the rules in measured
-    order. The sample, the first ``sample_rows`` rows that a scan gives, only decides
-    the order."""
-    sample = df.limit(sample_rows).persist()
+    order. The sample, the first ``sample_rows`` rows of the first partitions that hold
+    them (as ``take`` reads), only decides the order."""
+    rows = df.take(sample_rows)
+    sample = df.sparkSession.createDataFrame(rows, df.schema).repartition(2).persist()
     try:
         order = ordered(measure(sample, rules, text))
     finally:
@@ -165,12 +167,14 @@ def cascade(df: DataFrame, rules: list[Rule], text: str = "text", sample_rows: i
     return measures(df, text).withColumn("failed_rule", verdict(order))
 
 
-def quality(df: DataFrame, text: str = "text", sample_rows: int = 1000) -> DataFrame:
+def quality(df: DataFrame, text: str = "text", sample_rows: int = 400) -> DataFrame:
     """``df`` with its measures, ``base_failed``, ``kept`` and ``failed_rule``.
 
     Null and empty texts have no words and fail. Which of several failing rules is
     named depends on the measured order; ``kept`` doesn't. Repeated rows get the
-    same, columns with the names of the results are replaced.
+    same, very long texts are measured whole, an empty table gives an empty one.
+    Columns with the names of the results are replaced, others stay. Two 3-word windows
+    count as equal if their 64-bit hashes are.
     """
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = cascade(df.drop("base_failed", "kept", "failed_rule"), production_rules(text), text, sample_rows)
