@@ -131,6 +131,21 @@ ORDINARY = [
     "The copyright page of a book names the publisher.",
     "Doctors are licensed by the state for five years.",
 ]
+# Notices of licences that are none of the families.
+FOREIGN = [
+    "Licensed under the Northwind Commercial License, Version 3.0.",
+    "Use of this product is governed by the Contoso End User License Agreement.",
+    "Released under the Foo Public License, version 4.",
+    "This program is licensed under the terms of the Vendor Community License.",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software",
+    "Licensed under the Academic Free License version 2.1.",
+    "This file is licensed under the Eclipse Public License 1.0.",
+    "SPDX-License-Identifier: LicenseRef-Internal",
+    "Made available under the Open Data Commons License.",
+]
 UNKNOWN = "unknown"
 _WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
@@ -174,27 +189,41 @@ def _scores(grams: set[str], weights: dict[str, list[float]], bias: list[float])
 @lru_cache(maxsize=4)
 def train(seed: int = 1, rounds: int = 25, rate: float = 0.3, sparsity: float = 0.002) -> Classifier:
     """Fit on variants of the templates and of the ordinary sentences: notices whole,
-    with words left out, and among other words. Every fourth variant is kept for
-    the calibration. Weights are shrunk by ``sparsity`` each round (a proximal step
-    of the L1 penalty), those that reach zero are dropped."""
+    with words left out, and among other words. Every third template is kept from a
+    first fit for the calibration, the second fit has all. Weights are shrunk by
+    ``sparsity`` each round (a proximal step of the L1 penalty), those that reach zero
+    are dropped."""
     draw = random.Random(seed)
     families = [*TEMPLATES, UNKNOWN]
     filler = [w for s in ORDINARY for w in _tokens(s)]
     variants = []
     for k, f in enumerate(families):
-        for text in TEMPLATES.get(f, ORDINARY):
+        for i, text in enumerate(TEMPLATES.get(f, ORDINARY + FOREIGN)):
             words = _tokens(text)
             for v in range(12):
                 kept = words if v % 3 == 0 else [w for w in words if draw.random() > 0.1]
                 if v % 2 and f != UNKNOWN:
                     kept = draw.choices(filler, k=draw.randrange(12)) + kept + draw.choices(filler, k=draw.randrange(12))
-                variants.append((_ngrams(kept, CUES), k, v % 4 == 3))
+                variants.append((_ngrams(kept, CUES), k, i % 3 == 2))
+    weights, bias = _fit([x for x in variants if not x[2]], len(families), draw, rounds, rate, sparsity)
     held = [x for x in variants if x[2]]
-    fitted = [x for x in variants if not x[2]]
+    # The unknown class gets the offset at which templates that had no part in the fit
+    # are least surprised, among those that leave a paragraph without features unknown.
+    options = [x / 4 for x in range(-6, 13)]
+    loss = lambda o: -sum(math.log(max(_softmax([*(z := _scores(g, weights, bias))[:-1], z[-1] + o])[k], 1e-9)) for g, k, _ in held)
+    offset = min(options, key=loss)
+    weights, bias = _fit(variants, len(families), draw, rounds, rate, sparsity)
+    return Classifier(families, weights, bias, offset)
+
+
+def _fit(variants: list, classes: int, draw: random.Random, rounds: int, rate: float, sparsity: float) -> tuple[dict[str, list[float]], list[float]]:
+    """Weights by n-gram, and the bias, which is not fitted: a paragraph without a
+    feature is unknown."""
+    fitted = list(variants)
     weights: dict[str, list[float]] = {}
     frequent = Counter(g for grams, _, _ in fitted for g in grams)
     usable = {g for g, n in frequent.items() if n >= 3}
-    bias = [0.0] * (len(families) - 1) + [2.0]
+    bias = [0.0] * (classes - 1) + [2.0]
     for _ in range(rounds):
         draw.shuffle(fitted)
         for grams, k, _ in fitted:
@@ -203,14 +232,10 @@ def train(seed: int = 1, rounds: int = 25, rate: float = 0.3, sparsity: float =
             pace = rate / max(1, len(active)) ** 0.5
             step = [pace * ((i == k) - x) for i, x in enumerate(p)]
             for g in active:
-                weights[g] = [a + b for a, b in zip(weights.get(g, [0.0] * len(families)), step)]
+                weights[g] = [a + b for a, b in zip(weights.get(g, [0.0] * classes), step)]
         shrink = lambda x: math.copysign(max(abs(x) - sparsity, 0.0), x)
         weights = {g: s for g, w in weights.items() if any(s := [shrink(x) for x in w])}
-    # The unknown class gets the offset at which held-out variants are least
-    # surprised, among those that leave a paragraph without features unknown.
-    options = [x / 4 for x in range(-6, 13)]
-    loss = lambda o: -sum(math.log(max(_softmax([*(z := _scores(g, weights, bias))[:-1], z[-1] + o])[k], 1e-9)) for g, k, _ in held)
-    return Classifier(families, weights, bias, min(options, key=loss))
+    return weights, bias
 
 
 def constant(value, kind: str) -> Column:
@@ -218,18 +243,31 @@ def constant(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), kind)
 
 
-def confirmation(tokens: Column, families: list[str]) -> Column:
-    """For each family, the highest share of a template's word pairs (of a single
-    word, the word) that stand in the paragraph."""
+def word_pairs(text: str) -> list[str]:
+    """Word pairs of a template; of a single word, the word."""
+    words = _tokens(text)
+    return sorted({" ".join(p) for p in zip(words, words[1:])} or set(words))
+
 
-    def pairs(words: list[str]) -> list[str]:
-        return sorted({" ".join(p) for p in zip(words, words[1:])} or set(words))
+@lru_cache(maxsize=1)
+def template_pairs() -> dict[str, list[tuple[list[str], list[str]]]]:
+    """Of each family's templates: all word pairs, and those of them that neither
+    another family's template, nor a foreign notice, nor an ordinary sentence has."""
+    pairs = {f: [word_pairs(t) for t in texts] for f, texts in TEMPLATES.items()}
+    common = {p for t in ORDINARY + FOREIGN for p in word_pairs(t)}
+    elsewhere = {f: common.union(*[p for g in pairs if g != f for p in pairs[g]]) for f in pairs}
+    return {f: [(p, [x for x in p if x not in elsewhere[f]]) for p in pairs[f]] for f in pairs}
+
+
+def confirmation(tokens: Column, families: list[str]) -> Column:
+    """For each family, the highest share of a template's word pairs that stand in the
+    paragraph, among templates half of whose own pairs (if any) stand there too."""
 
     def shares(own: Column) -> Column:
         best = []
         for f in families:
-            found = constant([pairs(_tokens(t)) for t in TEMPLATES[f]], "array<array<string>>")
-            best.append(F.array_max(F.transform(found, lambda p: F.size(F.array_intersect(own, p)) / F.size(p))))
+            found = constant([{"p": p, "o": o} for p, o in template_pairs()[f]], "array<struct<p:array<string>,o:array<string>>>")
+            best.append(F.array_max(F.transform(found, lambda t: F.when(2 * F.size(F.array_intersect(own, t["o"])) >= F.size(t["o"]), F.size(F.array_intersect(own, t["p"])) / F.size(t["p"])).otherwise(0.0))))
         return F.array(*best)
 
     return let(_column_ngrams(tokens, 2), shares)
@@ -241,7 +279,8 @@ def _column_ngrams(tokens: Column, n: int) -> Column:
 
 
 def classify(paragraph: Column, model: Classifier, least: float) -> Column:
-    """struct<family, probability, confirmed, share> of a paragraph that holds a cue."""
+    """struct<family, probability, confirmed, share> of a paragraph that holds a cue.
+    A family is confirmed if it is likelier than all else together and by a template."""
     known = model.families[:-1]
     names = constant(model.families, "array<string>")
     table = constant([{"g": g, "w": w} for g, w in sorted(model.weights.items())], "array<struct<g:string,w:array<double>>>")
@@ -258,7 +297,7 @@ def classify(paragraph: Column, model: Classifier, least: float) -> Column:
             at = F.array_position(z, top).cast("int")
             family = F.element_at(names, at)
             alike = F.when(at <= len(known), F.element_at(confirmation(tokens, known), F.least(at, F.lit(len(known)))))
-            return F.struct(family.alias("family"), (F.lit(1.0) / total).alias("probability"), F.coalesce(alike >= least, F.lit(False)).alias("confirmed"), F.coalesce(alike, F.lit(0.0)).alias("share"))
+            return F.struct(family.alias("family"), (F.lit(1.0) / total).alias("probability"), F.coalesce((alike >= least) & (total < 2.0), F.lit(False)).alias("confirmed"), F.coalesce(alike, F.lit(0.0)).alias("share"))
 
         def add(h: Column) -> Column:
             rows = F.filter(table, lambda v: F.array_contains(h, v["g"]))
@@ -347,16 +386,19 @@ def scan(df: DataFrame, text: str = "text", least: float = 0.6, seed: int = 1) -
     Notices are lines of the text, or several lines of a paragraph if they are
     wrapped. A null text, an empty one and one without a cue have no licences and
     no notices. ``least``: the share of a template that must stand in the notice.
-    Whole texts are scanned; columns of ``df`` with these names are replaced;
-    repeated rows get the same.
+    Whole texts are scanned, very long ones too; columns of ``df`` with these names
+    are replaced, others stay; repeated rows get the same; an empty table gives an
+    empty one.
     """
     model = train(seed)
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     # A cue of two words may be wrapped too.
     wrapped = "|".join(c.replace(" ", "[^a-z0-9]+") for c in CUES if " " in c)
     any_cue = has_cue(F.lower(t)) | F.lower(t).rlike(wrapped)
-    out = df.drop("licenses", "probability", "unknown_notices").withColumn("_found", F.when(any_cue, notices(t, model, least)))
-    families = F.array_sort(F.array_distinct(F.transform("_found.sure", lambda x: x["family"])))
+    out = df.drop("licenses", "probability", "unknown_notices")
+    (found,) = unused(out, "_found")
+    out = out.withColumn(found, F.when(any_cue, notices(t, model, least)))
+    families = F.array_sort(F.array_distinct(F.transform(f"{found}.sure", lambda x: x["family"])))
     out = out.withColumn("licenses", F.coalesce(families, F.array().cast("array<string>")))
-    out = out.withColumn("probability", F.array_max(F.transform("_found.sure", lambda x: x["probability"])))
-    return out.withColumn("unknown_notices", F.coalesce(F.col("_found.unknown"), F.lit(0)).cast("int")).drop("_found")
+    out = out.withColumn("probability", F.array_max(F.transform(f"{found}.sure", lambda x: x["probability"])))
+    return out.withColumn("unknown_notices", F.coalesce(F.col(f"{found}.unknown"), F.lit(0)).cast("int")).drop(found)
