@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..params import DataError, Params
@@ -54,6 +55,38 @@ def class_gradient(scores: Column, label: Column, k: int, weight: Column | None
     return (g, h) if weight is None else (g * weight, h * weight)
 
 
+def gradient_arrays(params: Params, raw: np.ndarray, label: np.ndarray, weight: np.ndarray, k: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """``gradient`` (or, of several classes, ``class_gradient``) of raw scores as an
+    array (classes x rows)."""
+    o, a, rho, score = params.objective, params.alpha, params.tweedie_variance_power, raw[0]
+    h = np.ones(len(label))
+    with np.errstate(over="ignore"):
+        if o == "multiclass":
+            e = np.exp(raw - raw.max(0))
+            p = e[k] / e.sum(0)
+            g, h = p - (label == k), np.maximum(2.0 * p * (1.0 - p), LEAST_HESSIAN)
+        elif o == "binary":
+            p = 1.0 / (1.0 + np.exp(-score))
+            spw = np.where(label > 0.5, params.scale_pos_weight, 1.0)
+            g, h = (p - label) * spw, np.maximum(p * (1.0 - p), LEAST_HESSIAN) * spw
+        elif o == "poisson":
+            mu = np.exp(np.clip(score, -30.0, 30.0))
+            g, h = mu - label, np.maximum(mu, LEAST_HESSIAN)
+        elif o == "tweedie":
+            up, down = np.exp((2.0 - rho) * score), np.exp((1.0 - rho) * score)
+            g, h = up - label * down, np.maximum((2.0 - rho) * up - (1.0 - rho) * label * down, LEAST_HESSIAN)
+        elif o == "huber":
+            g = np.clip(score - label, -a, a)
+        elif o in ("mae", "quantile"):
+            up, down = (1.0, -1.0) if o == "mae" else (1.0 - a, -a)
+            g = np.where(score > label, up, down)
+        elif o == "regression":
+            g = score - label
+        else:
+            raise ValueError(o)
+    return g * weight, h * weight
+
+
 def nearest_rank(df: DataFrame, value: str, q: float, rows: int, rid: str = "rid", cap: int = 200_000) -> float:
     """The value at rank min(n - 1, floor(n q)) of every (rows / cap)-th row."""
     step = max(1, rows // cap)

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.hashing import keep
+from ..functions.hashing import keep, wang_int
 from ..params import Params
 
 BUCKETS = 1024
@@ -47,9 +45,9 @@ def goss_rows(rows: DataFrame, cut: float, a: float, b: float, tree: int) -> Dat
 
 
 def sampled_features(allowed: list[int], rate: float, tree: int) -> list[int]:
-    """Features of one tree: each allowed one with chance ``rate``, one at least."""
+    """Features of one tree: each allowed one with chance ``rate`` by a hash of the
+    tree and the feature, one at least (of the smallest hash)."""
     if rate >= 1:
         return allowed
-    draw = random.Random(0xC0150001 + tree)
-    out = [f for f in allowed if draw.random() < rate]
-    return out or [draw.choice(allowed)]
+    drawn = {f: wang_int(wang_int(tree + 1) ^ f) >> 8 for f in allowed}
+    return [f for f in allowed if drawn[f] < rate * (1 << 24)] or [min(allowed, key=drawn.get)]

@@ -1,33 +1,35 @@
 """Boosting: the driver loop over trees and the jobs that each level needs.
 
-Rows are binned once and stay in the shared store; a tree's levels each run one
-job, a histogram, its best splits and a collect of at most one row per node. Node
-numbers and scores of the latest trees are expressions over the row's bins; every
-``REFRESH`` trees scores are written anew, so the lineage stays short.
+Rows are binned once and packed in blocks. Each tree makes one pass that adds the
+former tree to the scores and takes gradients, whose result is kept in memory or on
+disk. A level of a tree is one job: histograms of the smaller child of each split, from
+which the larger one's follows by subtraction. Every ``REFRESH`` trees the blocks are
+written to the shared store and the former copy is removed: one write in the time of
+some hundred passes, so that lineage stays short and a lost executor costs no more
+than the trees since.
 """
 
 from __future__ import annotations
 
-import json
 import logging
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import metrics
-from ..functions.objectives import base_scores, class_gradient, gradient
+from ..functions.objectives import base_scores, gradient_arrays
 from ..model import CATEGORICAL, MISSING_LEFT, Forest, Tree
-from ..operators import sampling, splits
+from ..operators import blocks as packed, sampling, splits
 from ..operators.binning import assign_bins, bin_edges, collect_edges, number_rows
 from ..operators.guards import check_rows, warn
-from ..operators.histogram import histogram
 from ..operators.predict import raw_scores
 from ..params import ModelError, Params
-from ..store import store
+from ..store import discard, store
 
 log = logging.getLogger("coppice")
-REFRESH = 8
+REFRESH = 16
 #: Up to so many cells a level's histogram (nodes x features x bins) is searched on
 #: the driver; larger ones are by window functions, and one row a node comes back.
 LOCAL_CELLS = 1_000_000
@@ -66,39 +68,18 @@ def bin_dataset(df: DataFrame, features: list[str], label: str, params: Params,
     return Binned(store(assign_bins(rows, features, edges, params, ["rid", "label", "weight"]), "bins"), edges, features, params, n, told)
 
 
-def walk_bins(tree: Tree, bins: Column, last: int) -> Column:
-    """The node that a row's bins reach in a (partly grown) tree."""
-    depth = max((int(np.log2(n + 1)) + 1 for n in range(len(tree.feature)) if tree.feature[n] >= 0), default=0)
-    if not depth:
-        return F.lit(0)
-    size = 2 ** (depth + 1) - 1
-    table = [{"f": int(tree.feature[i]), "b": int(tree.bin[i]), "m": bool(tree.flags[i] & MISSING_LEFT), "c": bool(tree.flags[i] & CATEGORICAL), "l": tree.left.get(i, [])} for i in range(size)]
-    nodes = F.from_json(F.lit(json.dumps(table)), "array<struct<f:int,b:int,m:boolean,c:boolean,l:array<int>>>")
-
-    def step(n: Column, _: Column) -> Column:
-        x = nodes[n]
-        b = bins[F.greatest(x["f"], F.lit(0))].cast("int")
-        left = F.when(x["c"], F.array_contains(x["l"], b)).when(b == last, x["m"]).otherwise(b <= x["b"])
-        return F.when(x["f"] < 0, n).otherwise(2 * n + F.when(left, 1).otherwise(2))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), step)
-
-
-def leaf_column(tree: Tree, bins: Column, last: int) -> Column:
-    leaf = F.from_json(F.lit(json.dumps(tree.leaf.tolist())), "array<double>")
-    return leaf[walk_bins(tree, bins, last)]
-
-
 class Grower:
-    """Grows one tree on rows (rid, bins, g, h, ...)."""
+    """Grows one tree on blocks with gradients, or on rows (rid, bins, g, h)."""
 
     def __init__(self, rows: DataFrame, data: Binned, params: Params, allowed: list[int]):
-        self.rows, self.data, self.params, self.allowed = rows, data, params, allowed
+        self.data, self.params, self.allowed = data, params, allowed
+        self.blocks = rows if "live" in rows.columns else packed.pack(rows, params.bins)
         self.categorical = [i for i, c in enumerate(data.features) if c in params.categorical_features]
         self.monotone = {i: s for i, s in enumerate(params.monotone_constraints) if s}
         self.tree = Tree.empty(params.max_depth)
         self.sums: dict[int, tuple[float, float, int]] = {}
         self.bounds: dict[int, tuple[float, float]] = {0: (-np.inf, np.inf)}
+        self.cells: dict[int, np.ndarray] = {}
 
     def value(self, node: int) -> float:
         g, h, _ = self.sums[node]
@@ -109,20 +90,41 @@ class Grower:
         """Best split of each of the nodes that has one."""
         if not nodes:
             return {}
+        p, width = self.params, len(self.data.features)
+        if len(nodes) * width * p.max_bin > LOCAL_CELLS:
+            return self.find_by_windows(nodes)
+        # Of two children the one with fewer rows is counted, the other subtracted.
+        larger = {}
+        for n in nodes:
+            other = n + 1 if n % 2 else n - 1
+            if n and other in nodes and (n - 1) // 2 in self.cells and n not in larger.values() and other not in larger:
+                big, small = (n, other) if (self.sums[n][2], n) > (self.sums[other][2], other) else (other, n)
+                larger[big] = small
+        counted = [n for n in nodes if n not in larger]
+        cells = packed.histograms(self.blocks, self.tree, counted, self.allowed, width, p.bins, p.deterministic)
+        for big, small in larger.items():
+            rest = self.cells[(big - 1) // 2] - cells[small]
+            rest[rest[..., 2] == 0] = 0.0
+            cells[big] = rest
+        for n in nodes:  # a parent is needed no longer once both children are there
+            self.cells.pop((n - 1) // 2, None)
+        self.cells |= cells
+        if 0 in nodes:
+            g, h, c = cells[0][self.allowed[0]].sum(0)
+            self.sums[0] = (float(g), float(h), int(c))
+        found = [splits.search(cells[n], n, p, self.categorical, self.monotone, self.bounds[n]) for n in nodes]
+        return {s.node: s for s in found if s is not None}
+
+    def find_by_windows(self, nodes: list[int]) -> dict[int, object]:
+        """The same where the histograms are too large for the driver."""
         p = self.params
-        placed = self.rows.withColumn("node", walk_bins(self.tree, F.col("bins"), p.bins))
-        whole = len(self.allowed) == len(self.data.features)
-        hist = histogram(placed.where(F.col("node").isin(nodes)), None if whole else self.allowed, p.deterministic)
-        if len(nodes) * len(self.data.features) * p.max_bin <= LOCAL_CELLS:
-            table = hist.toArrow().to_pydict()
-            cells = {n: np.zeros((len(self.data.features), p.max_bin, 3)) for n in nodes}
-            for n, f, b, *sums in zip(*(table[c] for c in ("node", "f", "bin", "g", "h", "c"))):
-                cells[n][f, b] = sums
-            found = [splits.search(cells[n], n, p, self.categorical, self.monotone, self.bounds[n]) for n in nodes]
-            return {s.node: s for s in found if s is not None}
+        hist = packed.cells_table(packed.summed(packed.partials(self.blocks, self.tree, nodes, self.allowed, p.bins, p.deterministic)))
+        if 0 in nodes:
+            g, h, c = hist.where(F.col("f") == self.allowed[0]).agg(F.sum("g"), F.sum("h"), F.sum("c")).first()
+            self.sums[0] = (g or 0.0, h or 0.0, c or 0)
         bounds = None
         if self.monotone:
-            bounds = self.rows.sparkSession.createDataFrame([(n, *map(float, self.bounds[n])) for n in nodes], "node int, lo double, hi double")
+            bounds = hist.sparkSession.createDataFrame([(n, *map(float, self.bounds[n])) for n in nodes], "node int, lo double, hi double")
         found = splits.best(splits.candidates(hist, p, self.categorical, self.monotone, bounds)).collect()
         return {r.node: r for r in found}
 
@@ -146,11 +148,6 @@ class Grower:
             self.bounds[a], self.bounds[b] = ((lo, mid), (mid, hi)) if sign > 0 else ((mid, hi), (lo, mid))
         return [a, b]
 
-    def root(self) -> bool:
-        g, h, c = self.rows.agg(F.sum("g"), F.sum("h"), F.count("*")).first()
-        self.sums[0] = (g or 0.0, h or 0.0, c)
-        return c > 0
-
     def levels(self) -> None:
         live = [0]
         for _ in range(self.params.max_depth):
@@ -171,8 +168,8 @@ class Grower:
                 open_ |= self.find([k for k in kids if int(np.log2(k + 1)) < p.max_depth])
 
     def grow(self) -> Tree:
-        if self.root():
-            self.leaves() if self.params.num_leaves else self.levels()
+        self.leaves() if self.params.num_leaves else self.levels()
+        self.cells.clear()
         for n, (_, _, c) in self.sums.items():
             self.tree.cover[n] = c
             if self.tree.feature[n] < 0:
@@ -180,11 +177,19 @@ class Grower:
         return self.tree
 
 
-def renew(rows: DataFrame, tree: Tree, bounds: dict[int, tuple[float, float]], params: Params, n: int) -> None:
+def renew(blocks: DataFrame, tree: Tree, bounds: dict[int, tuple[float, float]], params: Params, n: int) -> None:
     """Leaves of mae and quantile losses: the residuals' quantile, where a leaf has
-    four of them. Residuals are those before the tree."""
-    found = residual_quantiles(rows.select("rid", (F.col("label") - F.col("score")).alias("residual"), walk_bins(tree, F.col("bins"), params.bins).alias("node")), 0.5 if params.objective == "mae" else params.alpha, n)
-    for r in found.collect():
+    four of them. Residuals are those before the tree, of the rows that it grew on."""
+    step = max(1, n // RENEWAL)
+
+    def pick(b: packed.Block) -> list[np.ndarray]:
+        own = b.rid % step == 0
+        if b.live is not None:
+            own &= b.live
+        return [b.rid[own], (b.label - b.raw[0])[own], packed.walk(tree, b.bins, params.bins)[own]]
+
+    rows = packed.rows_of(blocks, params.bins, "rid long, residual double, node int", pick)
+    for r in residual_quantiles(rows, 0.5 if params.objective == "mae" else params.alpha, n).collect():
         lo, hi = bounds.get(r.node, (-np.inf, np.inf))
         tree.leaf[r.node] = params.learning_rate * min(max(r.value, lo), hi)
 
@@ -213,59 +218,89 @@ def fit(data: Binned, params: Params, valid: DataFrame | None = None, init: Fore
     cut to its best round if it stopped early, and the metric by round."""
     k, last = params.classes, params.bins
     base = list(init.base) if init else base_scores(data.rows, params, data.n)
-    zero = F.array(*[F.lit(float(b)) for b in base])
-    rows = data.rows.join(start, "rid") if start is not None else data.rows.withColumn("raw", zero)
-    checked = None if valid is None else (valid.join(valid_start, "rid") if valid_start is not None else valid.withColumn("raw", zero))
+    rows = packed.pack(data.rows.join(start, "rid") if start is not None else data.rows, last, base)
+    blocks = store(rows, "blocks")
+    checked = None if valid is None else store(packed.pack(valid.join(valid_start, "rid") if valid_start is not None else valid, last, base), "valid")
     categorical = [i for i, c in enumerate(data.features) if c in params.categorical_features]
     forest = Forest(params.objective, params.max_bin, base, data.features, categorical, list(init.trees) if init else [], init.labels if init else None)
     allowed = [i for i, c in enumerate(data.features) if params.allowed_features is None or c in params.allowed_features]
     history: list[float] = []
     best = 0
-    pending: list[tuple[int, Tree]] = []
-
-    def scored(table: DataFrame) -> DataFrame:
-        """The table with its scores after the trees that are pending."""
-        if not pending:
-            return table
-        raw = [F.col("raw")[c] for c in range(k)]
-        for c, tree in pending:
-            raw[c] = raw[c] + leaf_column(tree, F.col("bins"), last)
-        return table.withColumn("raw", F.array(*raw))
+    kept: list[DataFrame] = []  # cached blocks, the former ones until the new ones are there
+    last_trees: list[tuple[int, Tree]] = []  # of the scores that the next pass adds
+
+    def advance(table: DataFrame, trees: list[tuple[int, Tree]], grade: int | None = None, cut: float | None = None, tree: int = 0) -> DataFrame:
+        """Blocks with the trees added to their scores and, of class ``grade``, gradients
+        and the rows that one tree grows on."""
+
+        def change(b: packed.Block) -> None:
+            if trees:
+                b.raw = b.raw.copy()
+            for c, t in trees:
+                b.raw[c] += t.leaf[packed.walk(t, b.bins, last)]
+            b.live = None
+            if grade is not None:
+                b.g, b.h = gradient_arrays(params, b.raw, b.label, b.weight, grade)
+                if cut is not None:
+                    packed.one_side(b, cut, params.goss_top_rate, params.goss_other_rate, tree + 1)
+                elif not params.goss and params.subsample < 1:
+                    packed.sample(b, tree // k + 1, params.subsample)
+
+        return packed.changed(table, last, change)
+
+    def cached(table: DataFrame) -> DataFrame:
+        kept.append(table.persist(StorageLevel.MEMORY_AND_DISK))
+        return table
+
+    def release(but: int) -> None:
+        while len(kept) > but:
+            kept.pop(0).unpersist()
 
     warm = -(-1 // params.learning_rate) if params.goss else 0
     for r in range(params.n_estimators):
+        grown: list[tuple[int, Tree]] = []
+        if r and r % REFRESH == 0:
+            new = store(advance(blocks, last_trees), "blocks")
+            release(0)
+            discard(stored)
+            blocks, last_trees = new, []
+        if r % REFRESH == 0:
+            stored = blocks
         for c in range(k):
             t = r * k + c
-            now = scored(rows)
-            if k > 1:
-                g, h = class_gradient(F.col("raw"), F.col("label"), c, F.col("weight"))
-            else:
-                g, h = gradient(params, F.col("raw")[0], F.col("label"), F.col("weight"))
-            graded = now.select("rid", "bins", "label", F.col("raw")[c].alias("score"), g.alias("g"), h.alias("h"))
+            now = cached(advance(blocks, last_trees, c, None, t))
             if params.goss and r >= warm:
-                graded = sampling.goss(graded, params, data.n, t)
-            else:
-                graded = sampling.bagged(graded, params.subsample, t // k)
-            grower = Grower(graded.persist(), data, params, sampling.sampled_features(allowed, params.colsample_bytree, t))
+                plain = packed.rows_of(now, last, "g double", lambda b: [b.g])
+                cut = float(sampling.goss_threshold(plain, params.goss_top_rate, data.n).first()[0])
+                now = cached(advance(now, [], c, cut, t))
+            grower = Grower(now, data, params, sampling.sampled_features(allowed, params.colsample_bytree, t))
             tree = grower.grow()
             if params.objective in ("mae", "quantile"):
-                renew(graded, tree, grower.bounds, params, data.n)
-            graded.unpersist()
+                renew(now, tree, grower.bounds, params, data.n)
+            release(1)
+            # Later classes of the round are graded by the scores before it.
+            blocks, last_trees = now, []
+            grown.append((c, tree))
             forest.trees.append(tree)
-            pending.append((c, tree))
+        last_trees = grown
         if checked is not None:
-            shown = scored(checked).select("label", (F.col("raw") if k > 1 else F.col("raw")[0]).alias("score"))
+            former, checked = checked, advance(checked, grown).persist(StorageLevel.MEMORY_AND_DISK)
+            shown = packed.rows_of(checked, last, "label double, score " + ("array<double>" if k > 1 else "double"), lambda b: [b.label, b.raw if k > 1 else b.raw[0]])
             value = metrics.evaluate(shown, params.shown_metric, params.alpha, params.tweedie_variance_power, params.objective in ("poisson", "tweedie")).first()[0]
+            former.unpersist()
+            if (r + 1) % REFRESH == 0:
+                former, checked = checked, store(checked, "valid")
+                former.unpersist()
             history.append(value)
             if params.verbose:
                 log.info("[%d] %s %.6f", r + 1, params.shown_metric, value)
             best, stale = best_round(history, metrics.higher_is_better(params.shown_metric))
             if params.early_stopping_rounds and stale >= params.early_stopping_rounds:
                 break
-        if len(pending) >= REFRESH * k:
-            rows = store(scored(rows), "rows")
-            checked = None if checked is None else store(scored(checked), "valid")
-            pending.clear()
+    release(0)
+    if checked is not None:
+        checked.unpersist()
+    discard(stored)
     if params.early_stopping_rounds and history:
         forest = forest.cut((len(init.trees) // k if init else 0) + best + 1)
     forest.extra |= {"params": params.as_dict(), "bestIteration": best + 1 if history else None, "history": history}

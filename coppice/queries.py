@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .functions import metrics, objectives
 from .functions.hashing import permuted
 from .model import Forest, Tree
-from .operators import binning, guards, histogram, predict, sampling, selection, splits
+from .operators import binning, blocks, guards, histogram, predict, sampling, selection, splits
 from .operators.shap import contribution_column
 from .params import Params
 from .plans import train as plan
@@ -295,7 +295,7 @@ DEPTH2 = f"{DEPTH1}, {_hist_sql('h1', 'one')}, {splits_sql('b', 'h1')}, {_route_
 
 def _routed(spark, sf_dir, depth):
     table, tree = _grown(spark, sf_dir, depth)
-    return table.select("rid", plan.walk_bins(tree, F.col("bins"), PARAMS.bins).alias("node"))
+    return blocks.nodes(blocks.pack(table, PARAMS.bins), tree, PARAMS.bins)
 
 
 query(f"with {DEPTH1} select rid, cast(node as integer) as node from one where f = 0", "route_depth1")(lambda s, d: _routed(s, d, 1))

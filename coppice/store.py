@@ -19,10 +19,23 @@ def _drop(spark, path: str) -> None:
 
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below ``spark.checkpoint.dir`` (a local folder only where that is
-    unset, as in tests) and read it back; removed when Python ends."""
+    unset and all of Spark is on this machine, as in tests) and read it back; removed
+    by ``discard``, or when Python ends."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    path = f"{base.rstrip('/')}/coppice-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.gettempdir()
+    path = f"{base.rstrip('/')}/coppice-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(f"{path}/{name}")
+    out._stored = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table that ``store`` wrote; others stay."""
+    if path := getattr(df, "_stored", None):
+        _drop(df.sparkSession, path)
