@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -66,10 +67,10 @@ def grams(words: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return gram[inside], of[: len(gram)][inside]
 
 
-def _totals(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys, sorted, and the sums of the values of each."""
-    distinct, at = np.unique(keys, return_inverse=True)
-    return distinct, *[np.bincount(at, v, len(distinct)) for v in values]
+def _runs(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys of a sorted array, and the sums of the values of each."""
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], *[np.add.reduceat(v, first, dtype=float) if len(keys) else np.zeros(0) for v in values]
 
 
 def _get(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float = 0.0) -> np.ndarray:
@@ -96,32 +97,31 @@ class Model:
     @staticmethod
     def fit(table: np.ndarray, gram: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray, discount: float = 0.75) -> "Model":
         order = np.argsort(gram)
-        gram, counts = gram[order], [np.asarray(ordinary, float)[order], np.asarray(toxic, float)[order]]
+        gram, counts = gram[order], [np.asarray(c)[order] for c in (ordinary, toxic)]
+        del order
         # Shared lower orders: continuation counts, from the shortest context up.
         levels = {}
         distinct = gram
         for n in range(ORDER - 1, 0, -1):
-            ending, kinds = _totals(distinct % CODES**n, np.ones(len(distinct)))
-            levels[n] = (ending, kinds)
-            distinct = ending
+            levels[n] = distinct, _ = np.unique(distinct % CODES**n, return_counts=True)
         shared = np.full(len(gram), 1 / CODES)
         for n in range(1, ORDER):
-            ending, kinds = levels[n]
-            context, total, branch = _totals(ending // CODES, kinds, np.ones(len(kinds)))
+            ending, kinds = levels.pop(n)
+            context, total, branch = _runs(ending // CODES, kinds, np.ones(len(kinds)))
+            # What the letter adds in this order, and what goes to the lower one.
+            own = np.maximum(kinds - discount, 0)
             mine = gram % CODES**n
-            c = _get(ending, kinds, mine)
-            t, b = _get(context, total, mine // CODES), _get(context, branch, mine // CODES)
-            shared = (np.maximum(c - discount, 0) + discount * b * shared) / np.maximum(t, 1)
+            shared *= _get(context, discount * branch / np.maximum(total, 1), mine // CODES)
+            shared += _get(ending, own / np.repeat(np.maximum(total, 1), branch.astype(np.int64)), mine)
         logs, left = [], []
-        context = np.unique(gram // CODES)
         for c in counts:
-            _, total, branch = _totals(gram // CODES, c, (c > 0).astype(float))
+            context, total, branch = _runs(gram // CODES, c, c > 0)
             rest = np.where(total > 0, discount * branch / np.maximum(total, 1), 1.0)
-            at = np.searchsorted(context, gram // CODES)
-            own = np.where(total[at] > 0, np.maximum(c - discount, 0) / np.maximum(total[at], 1), 0)
-            logs.append(np.log(own + rest[at] * shared))
-            left.append(np.log(rest))
-        return Model(table, gram, (logs[1] - logs[0]).astype(np.float32), context, (left[1] - left[0]).astype(np.float32))
+            held_by = np.cumsum(np.r_[False, gram[1:] // CODES != gram[:-1] // CODES])[: len(gram)]
+            own = np.maximum(c - discount, 0) / np.maximum(total, 1)[held_by]
+            logs.append(np.log(own + rest[held_by] * shared).astype(np.float32))
+            left.append(np.log(rest).astype(np.float32))
+        return Model(table, gram, logs[1] - logs[0], context, left[1] - left[0])
 
     def ratios(self, words: list[str]) -> np.ndarray:
         """Log-likelihood ratio per letter of each word."""
@@ -207,28 +207,34 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             every = list(set().union(*words))
             gram, of = grams(every, table)
             n = [np.array([w[b] for b in every], float)[of] if every else np.zeros(0) for w in words]
-            keys, *c = _totals(gram, *n)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, c)], names=["gram", *names])
+            order = np.argsort(gram)
+            keys, *c = _runs(gram[order], *[x[order] for x in n])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(x.astype(np.int32)) for x in c]], names=["gram", *names])
 
-    counts = rows.mapInArrow(count, "gram long, " + ", ".join(f"{c} double" for c in names)).groupBy("gram").agg(*[F.sum(c).alias(c) for c in names])
+    counts = rows.mapInArrow(count, "gram long, " + ", ".join(f"{c} int" for c in names)).groupBy("gram").agg(*[F.sum(c).cast("int").alias(c) for c in names])
     found = counts.toArrow()
     gram, c00, c01, c10, c11 = (found.column(c).to_numpy() for c in ["gram", *names])
-    model = Model.fit(table, gram, c00 + c10, c01 + c11)
-    # Each half is judged by the model that was counted on the other one.
-    halves = [Model.fit(table, gram[m], o[m], t[m]) for o, t in ((c10, c11), (c00, c01)) if (m := o + t > 0) is not None]
+    del found
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, "text"):
-            half = np.asarray(part.column("_half").to_pylist(), np.int64)
-            x = np.zeros((len(texts), FEATURES))
-            for h in (0, 1):
-                if len(at := np.flatnonzero(half == h)):
-                    x[at] = halves[h].features([texts[i] for i in at])
-            yield pa.RecordBatch.from_arrays([part.column("_toxic"), *[pa.array(c) for c in x.T]], names=["toxic", *[f"f{i}" for i in range(FEATURES)]])
-
-    seen = rows.mapInArrow(judge, "toxic int, " + ", ".join(f"f{i} double" for i in range(FEATURES))).toArrow().to_pandas()
+    def judged(half: int, model: Model) -> pd.DataFrame:
+        """Features of the rows of one half, as a model of the other sees them."""
+
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, texts in slices(batches, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("_toxic"), *[pa.array(c) for c in model.features(texts).T]], names=["toxic", *[f"f{i}" for i in range(FEATURES)]])
+
+        return rows.where(F.col("_half") == half).mapInArrow(judge, "toxic int, " + ", ".join(f"f{i} double" for i in range(FEATURES))).toArrow().to_pandas()
+
+    # Each half is judged by the model that was counted on the other one; one model at
+    # a time is in memory.
+    seen = []
+    for half, (o, t) in enumerate(((c10, c11), (c00, c01))):
+        own = o + t > 0
+        seen.append(judged(half, Model.fit(table, gram[own], o[own], t[own])))
     rows.unpersist()
-    model.calibrate(seen.drop(columns="toxic").to_numpy(float), seen.toxic.to_numpy(float))
+    x = pd.concat(seen)
+    model = Model.fit(table, gram, c00 + c10, c01 + c11)
+    model.calibrate(x.drop(columns="toxic").to_numpy(float), x.toxic.to_numpy(float))
     return model
 
 

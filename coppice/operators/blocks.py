@@ -19,7 +19,7 @@ from ..model import CATEGORICAL, MISSING_LEFT, Tree
 from .histogram import GRAIN, add_cells
 
 #: Rows of a block.
-ROWS = 32_768
+ROWS = 16_384
 #: Partial histograms of so many bytes in all go to the driver as they are; more are
 #: summed by a shuffle first.
 DIRECT = 64 << 20
@@ -111,6 +111,12 @@ def pack(rows: DataFrame, bins: int, base: list[float] | None = None) -> DataFra
     return rows.select("bins", *there).mapInArrow(work, SCHEMA)
 
 
+def spread(blocks: DataFrame) -> DataFrame:
+    """The blocks over as many tasks as there are cores at least."""
+    cores = blocks.sparkSession.sparkContext.defaultParallelism
+    return blocks.repartition(cores) if blocks.rdd.getNumPartitions() < cores else blocks
+
+
 def walk(tree: Tree, bins: np.ndarray, last: int) -> np.ndarray:
     """The node that each row's bins (features x rows) reach in a (partly grown) tree."""
     node = np.zeros(bins.shape[1], np.int32)
@@ -131,11 +137,12 @@ def walk(tree: Tree, bins: np.ndarray, last: int) -> np.ndarray:
         node[at] = 2 * own + np.where(left, 1, 2)
 
 
-def histograms(blocks: DataFrame, tree: Tree, nodes: list[int], features: list[int], width: int, bins: int, deterministic: bool = False) -> dict[int, np.ndarray]:
+def histograms(blocks: DataFrame, tree: Tree, nodes: list[int], features: list[int], width: int, bins: int, deterministic: bool = False, tasks: int = 1 << 20) -> dict[int, np.ndarray]:
     """Of each node (features x bins x (g, h, c)), rows that are not live left out.
-    The driver's share is bounded: nodes x features x bins."""
+    The driver's share is bounded: nodes x features x bins, from as many tasks at once
+    as ``DIRECT`` has room for."""
     partial = partials(blocks, tree, nodes, features, bins, deterministic)
-    if blocks.rdd.getNumPartitions() * len(nodes) * len(features) * (bins + 1) * 24 > DIRECT:
+    if tasks * len(nodes) * len(features) * (bins + 1) * 24 > DIRECT:
         partial = summed(partial)
     out = {n: np.zeros((width, bins + 1, 3)) for n in nodes}
     for n, f, cells in zip(*partial.toArrow().to_pydict().values()):

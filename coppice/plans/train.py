@@ -71,8 +71,8 @@ def bin_dataset(df: DataFrame, features: list[str], label: str, params: Params,
 class Grower:
     """Grows one tree on blocks with gradients, or on rows (rid, bins, g, h)."""
 
-    def __init__(self, rows: DataFrame, data: Binned, params: Params, allowed: list[int]):
-        self.data, self.params, self.allowed = data, params, allowed
+    def __init__(self, rows: DataFrame, data: Binned, params: Params, allowed: list[int], tasks: int = 1 << 20):
+        self.data, self.params, self.allowed, self.tasks = data, params, allowed, tasks
         self.blocks = rows if "live" in rows.columns else packed.pack(rows, params.bins)
         self.categorical = [i for i, c in enumerate(data.features) if c in params.categorical_features]
         self.monotone = {i: s for i, s in enumerate(params.monotone_constraints) if s}
@@ -101,7 +101,7 @@ class Grower:
                 big, small = (n, other) if (self.sums[n][2], n) > (self.sums[other][2], other) else (other, n)
                 larger[big] = small
         counted = [n for n in nodes if n not in larger]
-        cells = packed.histograms(self.blocks, self.tree, counted, self.allowed, width, p.bins, p.deterministic)
+        cells = packed.histograms(self.blocks, self.tree, counted, self.allowed, width, p.bins, p.deterministic, self.tasks)
         for big, small in larger.items():
             rest = self.cells[(big - 1) // 2] - cells[small]
             rest[rest[..., 2] == 0] = 0.0
@@ -219,7 +219,8 @@ def fit(data: Binned, params: Params, valid: DataFrame | None = None, init: Fore
     k, last = params.classes, params.bins
     base = list(init.base) if init else base_scores(data.rows, params, data.n)
     rows = packed.pack(data.rows.join(start, "rid") if start is not None else data.rows, last, base)
-    blocks = store(rows, "blocks")
+    blocks = store(packed.spread(rows), "blocks")
+    tasks = blocks.rdd.getNumPartitions()
     checked = None if valid is None else store(packed.pack(valid.join(valid_start, "rid") if valid_start is not None else valid, last, base), "valid")
     categorical = [i for i, c in enumerate(data.features) if c in params.categorical_features]
     forest = Forest(params.objective, params.max_bin, base, data.features, categorical, list(init.trees) if init else [], init.labels if init else None)
@@ -273,7 +274,7 @@ def fit(data: Binned, params: Params, valid: DataFrame | None = None, init: Fore
                 plain = packed.rows_of(now, last, "g double", lambda b: [b.g])
                 cut = float(sampling.goss_threshold(plain, params.goss_top_rate, data.n).first()[0])
                 now = cached(advance(now, [], c, cut, t))
-            grower = Grower(now, data, params, sampling.sampled_features(allowed, params.colsample_bytree, t))
+            grower = Grower(now, data, params, sampling.sampled_features(allowed, params.colsample_bytree, t), tasks)
             tree = grower.grow()
             if params.objective in ("mae", "quantile"):
                 renew(now, tree, grower.bounds, params, data.n)

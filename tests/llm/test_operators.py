@@ -202,7 +202,8 @@ def test_kneser_ney_by_brute_force():
     counts = {"idiot": (0, 5), "idea": (7, 1), "ideas": (2, 0), "the": (9, 4), "then": (1, 1), "öde": (3, 0), "it": (0, 1)}
     table = toxicity.code_table("".join(counts))
     gram, of = toxicity.grams(list(counts), table)
-    keys, o, t = toxicity._totals(gram, *[np.array([c[k] for c in counts.values()], float)[of] for k in (0, 1)])
+    order = np.argsort(gram)
+    keys, o, t = toxicity._runs(gram[order], *[np.array([c[k] for c in counts.values()], float)[of][order] for k in (0, 1)])
     model = toxicity.Model.fit(table, keys, o, t)
     assert np.allclose(model.ratios(list(counts)), kneser_ney(list(counts), counts, table), atol=1e-5)
     assert len(set(table[[ord(c) for c in "idoteashnö"]].tolist())) == 10 and table[ord("日")] == toxicity._OTHER
