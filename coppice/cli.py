@@ -12,10 +12,11 @@ from .model import Forest
 from .operators.predict import check_columns, predict
 from .operators.selection import chosen, select_features
 from .params import CoppiceError, DataError, Params
-from .plans.train import bin_dataset, fit, prepare, train
+from .plans.train import bin_dataset, binned_scores, fit, prepare, train
 from .operators.binning import assign_bins
 from .sources import bundles
 from .sources.tables import read_table, write_predictions
+from .store import store
 
 
 def parser() -> argparse.ArgumentParser:
@@ -133,11 +134,17 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
             forest, _ = train(df, data.features, a.label, params, a.weight_column, valid=valid, init=init)
         else:
             own = params.but(max_bin=data.params.max_bin, categorical_features=data.params.categorical_features)
-            checked = None
+            checked = start = valid_start = None
+            if init is not None:
+                start = store(binned_scores(init, data, data.rows), "start")
             if valid is not None:
                 rows, _ = prepare(valid, data.features, a.label, None, own, None)
                 checked = assign_bins(rows, data.features, data.edges, own, ["rid", "label", "weight"]).persist()
-            forest, _ = fit(data, own, checked)
+                if init is not None:
+                    valid_start = store(binned_scores(init, data, checked), "start")
+            forest, _ = fit(data, own, checked, init, start, valid_start)
+            if checked is not None:
+                checked.unpersist()
         forest.save(a.output)
         return 0
     except CoppiceError as e:

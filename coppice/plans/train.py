@@ -308,6 +308,30 @@ def fit(data: Binned, params: Params, valid: DataFrame | None = None, init: Fore
     return forest, history
 
 
+def binned_scores(forest: Forest, data: Binned, rows: DataFrame) -> DataFrame:
+    """(rid, raw): a forest's scores of binned rows, whose edges its thresholds are."""
+    if forest.features != data.features or forest.max_bin != data.params.max_bin:
+        raise ModelError("the model to go on from has other features or another binning")
+    for tree in forest.trees:
+        for n in tree.reachable():
+            f = int(tree.feature[n])
+            if f < 0 or tree.flags[n] & CATEGORICAL:
+                continue
+            edges = np.asarray(data.edges[f])
+            tree.bin[n] = np.searchsorted(edges, tree.threshold[n])
+            if np.isfinite(tree.threshold[n]) and (tree.bin[n] >= len(edges) or edges[tree.bin[n]] != tree.threshold[n]):
+                raise ModelError(f"the model to go on from splits {data.features[f]} at {tree.threshold[n]}, which is no edge of the binned rows")
+    last, k = data.params.bins, forest.classes
+
+    def score(b: packed.Block) -> list[np.ndarray]:
+        raw = np.repeat(np.array(forest.base, float)[:, None], b.n, 1)
+        for t, tree in enumerate(forest.trees):
+            raw[t % k] += tree.leaf[packed.walk(tree, b.bins, last)]
+        return [b.rid, raw]
+
+    return packed.rows_of(packed.pack(rows, last), last, "rid long, raw array<double>", score)
+
+
 def train(df: DataFrame, features: list[str], label: str, params: Params, weight: str | None = None, rid: str | None = None, valid: DataFrame | None = None, init: Forest | None = None) -> tuple[Forest, list[float]]:
     """Fit on a table of raw values."""
     if init is not None:

@@ -18,6 +18,8 @@ from .operators import binning, blocks, guards, histogram, predict, sampling, se
 from .operators.shap import contribution_column
 from .params import Params
 from .plans import train as plan
+from .sources import bundles, tables
+from .store import store
 
 FEATURES = ["x0", "x1", "x2"]
 PARAMS = Params(n_estimators=3, max_depth=2, learning_rate=0.5, max_bin=16, categorical_features=("x2",))
@@ -345,32 +347,70 @@ def train_boosted_3_rounds(spark, sf_dir):
     return rows(spark, sf_dir).select("rid", F.round(predict.raw_expression(forest)[0], 4).alias("score"))
 
 
-@query()
+def _internal(forest: Forest, spark: SparkSession, *more: str) -> DataFrame:
+    return forest.nodes(spark).where("feature >= 0").select(*more, "node", F.col("feature").alias("f"), F.round("gain", 4).alias("gain"))
+
+
+_PICK = "select cast(node as integer) as node, cast(f as integer) as f, round(gain, 4) as gain from"
+
+
+# Best first: the root, the better of its children, then the best of what is open.
+@query(f"with {DEPTH1}, {_hist_sql('h1', 'one')}, {splits_sql('b', 'h1')}, first as (select * from bbest order by gain desc, node limit 1), {_route_sql('one', 'first', 'two')}, {_hist_sql('h2', '(select * from two where node > 2)')}, {splits_sql('c', 'h2')}, open as (select node, f, gain from bbest where node not in (select node from first) union all select node, f, gain from cbest), second as (select * from open order by gain desc, node limit 1) {_PICK} abest union all {_PICK} first union all {_PICK} second")
 def train_leafwise_4_leaves(spark, sf_dir):
-    forest, _ = plan.fit(binned(spark, sf_dir), PARAMS.but(n_estimators=1, max_depth=4, num_leaves=4))
-    return forest.nodes(spark).drop("left_bins")
+    data, p = binned(spark, sf_dir), PARAMS.but(max_depth=4, num_leaves=4, learning_rate=1.0)
+    tree = plan.Grower(graded(spark, sf_dir), data, p, [0, 1, 2]).grow()
+    return _internal(Forest("regression", 16, [32.0], FEATURES, [2], [tree]), spark)
 
 
-@query()
+def _tree_sql(p: str, source: str) -> str:
+    """CTEs of a tree of depth two on ``source`` (rid, f, bin, g, h, node): its splits
+    {p}1best and {p}2best, and the rows' leaves in {p}leaf."""
+    return f"{_hist_sql(f'{p}h1', source)}, {splits_sql(f'{p}1', f'{p}h1')}, {_route_sql(source, f'{p}1best', f'{p}r1')}, {_hist_sql(f'{p}h2', f'{p}r1')}, {splits_sql(f'{p}2', f'{p}h2')}, {_route_sql(f'{p}r1', f'{p}2best', f'{p}leaf')}"
+
+
+def _tree_out(p: str, tree: int) -> str:
+    return " union all ".join(f"select {tree} as tree, cast(node as integer) as node, cast(f as integer) as f, round(gain, 4) as gain from {p}{d}best" for d in (1, 2))
+
+
+@query(
+    f"with {DATA}, prior as (select yc as k, (count(*) + 1.0) / ((select count(*) from rows) + 3) as p from rows group by yc), "
+    + ", ".join(f"k{k} as (select b.rid, f, bin, p - cast(yc = {k} as integer)::double as g, greatest(2 * p * (1 - p), 1e-6) as h, 0 as node from binned b join rows r on b.rid = r.rid, prior where k = {k}), {_tree_sql(f't{k}', f'k{k}')}" for k in range(3))
+    + " "
+    + " union all ".join(_tree_out(f"t{k}", k) for k in range(3))
+)
 def train_multiclass_round(spark, sf_dir):
     df = rows(spark, sf_dir).withColumn("label", F.col("yc"))
     forest, _ = plan.train(df, FEATURES, "label", PARAMS.but(objective="multiclass", num_class=3, n_estimators=1), rid="rid")
-    return forest.nodes(spark).drop("left_bins")
+    return _internal(forest, spark, "tree")
 
 
-@query()
+@query(
+    f"with {DATA}, base as (select avg(label) as s from rows), w0 as (select rid, f, bin, s - label as g, 1.0::double as h, 0 as node from binned, base), {_tree_sql('t0', 'w0')}, "
+    f"v0 as (select node, 0.5::double * (-sum(g) / (sum(h) + 1)) as v from t0leaf where f = 0 group by node), w1 as (select l.rid, l.f, l.bin, l.g + v as g, 1.0::double as h, 0 as node from t0leaf l join v0 using (node)), {_tree_sql('t1', 'w1')} {_tree_out('t0', 0)} union all {_tree_out('t1', 1)}"
+)
 def warm_start(spark, sf_dir):
     data = rows(spark, sf_dir)
     first, _ = plan.train(data, FEATURES, "label", PARAMS.but(n_estimators=1), rid="rid")
     forest, _ = plan.train(data, FEATURES, "label", PARAMS.but(n_estimators=1), rid="rid", init=first)
-    return forest.nodes(spark).drop("left_bins")
+    return _internal(forest, spark, "tree")
+
 
+# Stumps on the month and the category; the metric is taken on every fourth row, whose
+# labels count backwards, so that it gets worse from the first round on.
+_STUMPS = ", ".join(
+    ["r0 as (select rid, f, bin, label, 32.0::double as s from binned where f > 0)"]
+    + [f"g{i} as (select rid, f, bin, s - label as g, 1.0::double as h, 0 as node from r{i}), {_hist_sql(f'q{i}', f'g{i}')}, {splits_sql(f't{i}', f'q{i}')}, {_route_sql(f'g{i}', f't{i}best', f'n{i}')}, l{i} as (select node, 0.5::double * (-sum(g) / (sum(h) + 1)) as v from n{i} where f = 1 group by node), r{i + 1} as (select r.rid, r.f, r.bin, r.label, r.s + l.v as s from r{i} r join n{i} n on r.rid = n.rid and r.f = n.f join l{i} l on l.node = n.node)" for i in range(3)]
+)
 
-@query("select cast(2 as integer) as best_round, 3.0::double as metric")
+
+@query(f"with {DATA}, {_STUMPS}, m as (" + " union all ".join(f"select {i} as round, sqrt(avg((s - (64 - label)) * (s - (64 - label)))) as metric from r{i} where f = 1 and rid % 4 = 0" for i in (1, 2, 3)) + ") select cast(round as integer) as round, round(metric, 4) as metric, round <= (select min(round) from m where metric = (select min(metric) from m)) as kept from m")
 def early_stop(spark, sf_dir):
-    history = [5.0, 3.0, 3.0, 4.0]
-    best, _ = plan.best_round(history, higher=False)
-    return spark.createDataFrame([(best + 1, history[best])], "best_round int, metric double")
+    data = binned(spark, sf_dir)
+    p = PARAMS.but(n_estimators=9, max_depth=1, allowed_features=("x1", "x2"), early_stopping_rounds=2)
+    init, start = Forest("regression", 16, [32.0], FEATURES, [2]), data.rows.select("rid", F.array(F.lit(32.0)).alias("raw"))
+    valid = data.rows.where("rid % 4 = 0").withColumn("label", 64 - F.col("label"))
+    forest, history = plan.fit(data, p, valid, init, start, start)
+    return spark.createDataFrame([(i + 1, round(m, 4), i < len(forest.trees)) for i, m in enumerate(history)], "round int, metric double, kept boolean")
 
 
 _BUCKET = "least(1023, cast(floor(abs(32.0 - label) / (select max(abs(32.0 - label)) from rows) * 1024) as integer))"
@@ -399,13 +439,30 @@ def bagging_sample(spark, sf_dir):
     return sampling.bagged(rows(spark, sf_dir), 0.5, 0).select("rid")
 
 
-@query(f"with {ROWS}, t as (select rid, 32.0::double - label as g, 20.0::double as cut from rows) select rid, case when abs(g) >= cut then g else g * 8.0 end as g from t where abs(g) >= cut or {_keep_sql(1, 0.125)}")
+_CUT = f"b as (select {_BUCKET} as bucket, count(*) as n from rows group by 1), c as (select bucket, sum(n) over (order by bucket desc rows between unbounded preceding and current row) as cum from b), t as (select rid, 32.0::double - label as g, (select cast(max(bucket) as double) / 1024 * (select max(abs(32.0 - label)) from rows) from c where cum >= cast(floor((select count(*) from rows) * 0.2::double) as bigint)) as cut from rows)"
+
+
+@query(f"with {ROWS}, {_CUT} select rid, case when abs(g) >= cut then g else g * 8.0 end as g from t where abs(g) >= cut or {_keep_sql(1, 0.125)}")
 def goss_sample(spark, sf_dir):
     df = rows(spark, sf_dir).select("rid", (32.0 - F.col("label")).alias("g"), F.lit(1.0).alias("h"))
-    return sampling.goss_rows(df, 20.0, 0.2, 0.1, 0).select("rid", "g")
+    return sampling.goss(df, Params(goss=True, goss_top_rate=0.2, goss_other_rate=0.1), df.count(), 0).select("rid", F.round("g", 9).alias("g"))
 
 
-@query()
+# The same draw as blocks take it, into the root's histogram of the month.
+@query(f"with {DATA}, {_CUT}, s as (select rid, case when abs(g) >= cut then g else g * 8.0 end as g, case when abs(g) >= cut then 1.0 else 8.0 end as h from t where abs(g) >= cut or {_keep_sql(1, 0.125)}) select cast(bin as integer) as bin, round(sum(s.g), 6) as g, round(cast(sum(s.h) as double), 6) as h, count(*) as c from s join binned b on b.rid = s.rid and b.f = 1 group by bin")
+def goss_histogram(spark, sf_dir):
+    df = graded(spark, sf_dir)
+    n = df.count()
+    cut = float(sampling.goss_threshold(df, 0.2, n).first()[0])
+    drawn = blocks.changed(blocks.pack(df, PARAMS.bins), PARAMS.bins, lambda b: blocks.one_side(b, cut, 0.2, 0.1, 1))
+    hist = blocks.cells_table(blocks.summed(blocks.partials(drawn, Tree.empty(1), [0], [1], PARAMS.bins, False)))
+    return hist.select("bin", F.round("g", 6).alias("g"), F.round("h", 6).alias("h"), "c")
+
+
+_HASH = _wang_sql("xor(seed, f)") + " >> 8"
+
+
+@query(f"with d as (select tree, f, {_HASH} as v from (select t.range as tree, {_wang_sql('(t.range + 1)')} as seed, f.range as f from range(0, 8) t, range(0, 6) f)) select cast(tree as integer) as tree, cast(f as integer) as f from d where v < 8388608 or (v = (select min(v) from d e where e.tree = d.tree) and not exists (select 1 from d e where e.tree = d.tree and v < 8388608))")
 def colsample_mask(spark, sf_dir):
     return spark.createDataFrame([(t, f) for t in range(8) for f in sampling.sampled_features(list(range(6)), 0.5, t)], "tree int, f int")
 
@@ -484,14 +541,15 @@ def metric_multilogloss(spark, sf_dir):
 
 def _importance(kind):
     def run(spark, sf_dir):
-        agg = F.sum("gain") if kind == "gain" else F.count("*").cast("double")
-        return tiny_forest().nodes(spark).where("feature >= 0").groupBy("feature").agg(agg.alias("importance"))
+        _, tree = _grown(spark, sf_dir, 2)
+        found = Forest("regression", 16, [32.0], FEATURES, [2], [tree]).importance(kind)
+        return spark.createDataFrame([(f, round(x, 4)) for f, x in enumerate(found)], "feature int, importance double")
 
     return run
 
 
-query("select * from (values (0::integer, 4.0::double), (1, 8.0), (2, 2.0)) t(feature, importance)", "importance_gain")(_importance("gain"))
-query("select * from (values (0::integer, 1.0::double), (1, 1.0), (2, 1.0)) t(feature, importance)", "importance_split")(_importance("split"))
+for _kind, _agg in (("gain", "sum(gain)"), ("split", "count(*)")):
+    query(f"with {DEPTH2}, s as (select f, gain from abest union all select f, gain from bbest) select cast(k.range as integer) as feature, round(cast(coalesce((select {_agg} from s where s.f = k.range), 0) as double), 4) as importance from range(0, 3) k", f"importance_{_kind}")(_importance(_kind))
 
 
 @query(f"with {ROWS} select rid, round(cast({_RAW} as double), 6) as total from rows")
@@ -546,16 +604,100 @@ def validate_labels(spark, sf_dir):
     return guards.violations(rows(spark, sf_dir), guards.label_rules(Params(objective="binary")))
 
 
-@query(f"with {ROWS} select count(*) as n, count(*) / 256.0 < 64 as few from rows")
+@query(f"with {ROWS} select cast(max_bin as integer) as max_bin, max_bin > 64 and (select count(*) from rows) / cast(max_bin as double) < 64 as few from (values (32), (128), (256)) t(max_bin)")
 def rows_per_bin_hint(spark, sf_dir):
-    return rows(spark, sf_dir).agg(F.count("*").alias("n"), (F.count("*") / 256.0 < 64).alias("few"))
+    import warnings
+
+    df = rows(spark, sf_dir)
+    n, out = df.count(), []
+    for b in (32, 128, 256):
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            out.append((b, any("few" in w for w in guards.warn(df, FEATURES, Params(max_bin=b), n))))
+    return spark.createDataFrame(out, "max_bin int, few boolean")
 
 
 @query("select event_id, cast(dense_rank() over (order by event_type) - 1 as integer) as code from events")
 def label_encode(spark, sf_dir):
+    from .estimator import CoppiceClassifier
+
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")
-    names = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").limit(129).collect()]
-    return events.select("event_id", (F.array_position(F.array(*map(F.lit, names)), F.col("event_type")) - 1).cast("int").alias("code"))
+    coded, _ = CoppiceClassifier()._prepare(events, "event_type", Params(objective="binary"))
+    return coded.select("event_id", F.col("event_type").cast("int").alias("code"))
+
+
+def _written(df: DataFrame, name: str) -> str:
+    """Lines of text in the shared scratch folder."""
+    return f"{store(df, name, 'text')._stored}/{name}"
+
+
+@query("select s_suppkey::double as s_suppkey, case when s_suppkey % 3 = 0 then null else s_acctbal end as acctbal, s_name as name from supplier")
+def csv_parse(spark, sf_dir):
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    head = spark.createDataFrame([("s_suppkey, acctbal,name",)], "value string")
+    field = F.when(F.col("s_suppkey") % 3 == 0, F.array(F.lit(""), F.lit("n/a"), F.lit(" NaN "))[(F.col("s_suppkey") % 9 / 3).cast("int")]).otherwise(F.concat(F.lit(" "), F.col("s_acctbal").cast("string"), F.lit(" EUR")))
+    lines = s.coalesce(1).select(F.concat_ws(",", F.col("s_suppkey").cast("string"), field, "s_name", F.lit("more")).alias("value"))
+    return tables.read_table(spark, _written(head.coalesce(1).union(lines).coalesce(1), "lines"), "csv", ["name"])
+
+
+@query("select s_suppkey::double as label, s_nationkey::double as f0, 0.0::double as f1, case when s_suppkey % 2 = 0 then s_acctbal else 0.0 end as f2 from supplier")
+def libsvm_parse(spark, sf_dir):
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    lines = s.select(F.concat(F.col("s_suppkey").cast("string"), F.lit(" qid:3 1:"), F.col("s_nationkey").cast("string"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("  3:"), F.col("s_acctbal").cast("string"))).otherwise(""), F.lit(" # note 9:9")).alias("value"))
+    return tables.read_table(spark, _written(lines, "lines"), "libsvm")
+
+
+@query(f"with {ROWS} select rid, cast({_RAW} as double) as prediction from rows")
+def name_mapping(spark, sf_dir):
+    moved = rows(spark, sf_dir).select("yb", "x2", F.lit("other").alias("x9"), "x0", "rid", "x1")
+    return predict.predict(tiny_forest(), moved).select("rid", "prediction")
+
+
+@query(f"select cast(0.125 + {_V['']} + (0.5 * 1.0 + 0.5 * -1.0) as double) as bias")
+def shap_bias(spark, sf_dir):
+    from .operators.shap import expected
+
+    return spark.createDataFrame([(float(expected(tiny_forest())[0]),)], "bias double").select(F.round("bias", 9).alias("bias"))
+
+
+@query(f"with {ROWS} select rid, cast({_RAW} as double) as prediction from rows")
+def model_round_trip(spark, sf_dir):
+    import json
+
+    again = Forest.from_json(json.loads(json.dumps(tiny_forest().as_json())))
+    return predict.predict(again, rows(spark, sf_dir)).select("rid", "prediction")
+
+
+@query(f"with {DATA} select rid, f, bin from binned")
+def bundle_round_trip(spark, sf_dir):
+    data = binned(spark, sf_dir)
+    path = store(data.rows.limit(0), "none")._stored + "/bundle"
+    bundles.save(data, path)
+    again = bundles.load(spark, path).rows
+    return again.select("rid", F.posexplode("bins").alias("f", "bin")).select("rid", "f", F.col("bin").cast("int").alias("bin"))
+
+
+@query(f"with {ROWS} select cast(round(cast({_RAW} as double), 6) as varchar) as prediction, count(*) as n from rows group by 1")
+def predictions_csv(spark, sf_dir):
+    df = predict.predict(tiny_forest(), rows(spark, sf_dir)).select("rid", "prediction")
+    path = store(df.limit(0), "none")._stored + "/predictions"
+    tables.write_predictions(df, path)
+    back = spark.read.option("header", True).csv(path)
+    return back.groupBy(F.round(F.col("prediction").cast("double"), 6).cast("string").alias("prediction")).agg(F.count("*").alias("n"))
+
+
+@query(f"with {ROWS}, p as (select rid, exp(a) / (exp(a) + exp(b) + exp(c)) as p0, exp(b) / (exp(a) + exp(b) + exp(c)) as p1 from (select rid, cast({_RAW} as double) as a, case when x1 <= 6 then -0.5::double else 0.5::double end as b, 0.25::double as c from rows)) select rid, round(p0, 6) as p0, round(p1, 6) as p1 from p")
+def predict_multiclass(spark, sf_dir):
+    """Three classes: the tiny forest's two trees both in class 0, one stump in class 1."""
+    import numpy as np
+
+    a, b = tiny_forest().trees
+    stump, none = Tree.empty(1), Tree.empty(0)
+    stump.feature[0], stump.threshold[0], stump.leaf[1:] = 1, 6.0, [-0.5, 0.5]
+    zero = lambda: Tree(*(np.array(x) if not isinstance(x, dict) else {} for x in vars(none).values()))
+    forest = Forest("multiclass", 16, [0.125, 0.0, 0.25], FEATURES, [2], [a, stump, zero(), b, zero(), zero()])
+    found = predict.predict(forest, rows(spark, sf_dir))
+    return found.select("rid", *[F.round(F.col("probability")[i], 6).alias(f"p{i}") for i in (0, 1)])
 
 
 @query("select cast(row_number() over (order by s_suppkey) - 1 as bigint) as rid, s_suppkey from supplier")
@@ -574,7 +716,9 @@ def stump_on_lineitem(spark, sf_dir):
     return predict.predict(forest, numbered).select("l_orderkey", "label", "prediction")
 
 
-@query()
+# Ids and their sides, joined to runs of equal sides; ids that are invalid go with the
+# missing bin, which is not in the set.
+@query("with s as (select -1 as i, false as side union all select range, range in (1, 2, 5) from range(0, 8) union all select 8, false), e as (select i, side, lead(side) over (order by i) is distinct from side or i in (-1, 7) as last from s) select cast(row_number() over (order by i) - 1 as integer) as step, case when i = 8 then 'infinity'::double else i + 0.5::double end as upper, side as is_left from e where last")
 def export_interval_chain(spark, sf_dir):
     from .export import interval_chain
 

@@ -17,7 +17,7 @@ def _drop(spark, path: str) -> None:
         pass
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, kind: str = "parquet") -> DataFrame:
     """Write ``df`` below ``spark.checkpoint.dir`` (a local folder only where that is
     unset and all of Spark is on this machine, as in tests) and read it back; removed
     by ``discard``, or when Python ends."""
@@ -28,9 +28,9 @@ def store(df: DataFrame, name: str) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.gettempdir()
     path = f"{base.rstrip('/')}/coppice-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{name}")
+    df.write.format(kind).save(f"{path}/{name}")
     atexit.register(_drop, spark, path)
-    out = spark.read.schema(df.schema).parquet(f"{path}/{name}")
+    out = spark.read.schema(df.schema).format(kind).load(f"{path}/{name}")
     out._stored = path
     return out
 
