@@ -4,6 +4,7 @@ text, hashes that Spark and DuckDB compute alike."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -114,6 +115,31 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2_000_00
         yield part, part.column(column).to_pylist()
 
 
+#: Rows and bytes that Arrow moves at once between the JVM and Python, which both hold.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session, if they aren't already: texts are long,
+    and buffers of the size of a batch stay allocated on both sides."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        try:
+            now = spark.conf.get(key)
+        except Exception:  # this Spark has no such bound
+            continue
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
+def give_back() -> None:
+    """Return what this worker has freed to the system; it idles with it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
 def mapped(df: DataFrame, text: str, work: Callable[[pa.RecordBatch, list], list[pa.Array]], keep_text: bool = True, **kinds: str) -> DataFrame:
     """``df`` with the columns ``kinds`` that ``work`` gives for runs of rows, from
     their ``text`` as Python strings. Columns of ``df`` with these names are
@@ -129,7 +155,9 @@ def mapped(df: DataFrame, text: str, work: Callable[[pa.RecordBatch, list], list
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, f"c{at}"):
             yield pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], *work(part, texts)], names=schema.names)
+        give_back()
 
+    small_batches(df.sparkSession)
     return plain.mapInArrow(run, schema).toDF(*[names[i] for i in keep], *kinds)
 
 

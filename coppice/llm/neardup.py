@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import flat
-from .common import keep_ids, materialise
+from .common import give_back, keep_ids, materialise, small_batches
 from .graph import components
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -105,6 +105,7 @@ def signatures(df: DataFrame, doc_id: str, text: str, words: int, bands: int, wi
                         [part.column(0), pa.array(k[0].view(np.int64), mask=missing), pa.array(k[1].view(np.int64), mask=missing), pa.array(size.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(h[full].view(np.int64).ravel()))],
                         names=["id", "k1", "k2", "n_shingles", "bands"],
                     )
+        give_back()
 
     return df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(work, "id long, k1 long, k2 long, n_shingles long, bands array<long>")
 
@@ -140,6 +141,7 @@ def similarities(pairs: DataFrame, texts: DataFrame, words: int, least: float) -
                 shared = len(np.intersect1d(one, two, assume_unique=True))
                 keep[i] = shared > 0 and shared >= least * (len(one) + len(two) - shared)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
+        give_back()
 
     return both.mapInArrow(work, "a long, b long").distinct()
 
@@ -213,6 +215,7 @@ def within_buckets(rest: DataFrame, texts: DataFrame, words: int, least: float,
                 rows, shingle, _ = flat.shingles(*flat.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), words)
                 ends = np.r_[0, np.cumsum(np.bincount(rows, minlength=b - a))].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(shingle.view(np.int64)))], names=["rep", "set"])
+        give_back()
 
     # An id with several texts: they are one document, and the links of each count.
     sets = keep_ids(texts, rest.select("rep").distinct().withColumnRenamed("rep", "id"), "id").mapInArrow(work, "rep long, set array<long>")
@@ -235,6 +238,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     doc_id has a null class and links nothing. Rows that repeat a doc_id count as
     one document. Other columns of ``df`` don't matter, whatever their names.
     """
+    small_batches(df.sparkSession)
     texts = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where("id is not null and text is not null")
     signed = materialise(signatures(df, doc_id, text, words, bands, width, seed), "signatures")
     known = signed.where("id is not null and k1 is not null")

@@ -19,11 +19,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Words, crc_mod, held, mapped, slices
+from .common import Words, crc_mod, held, mapped, slices, small_batches
 
 ORDER = 8
 #: Codes of letters; ``ORDER`` of them make one number below 2^63.
@@ -186,6 +185,7 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     sample = first(1, max_toxic).unionByName(first(0, max_ordinary)).withColumnRenamed("doc_id", "_id")
     rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
     rows = rows.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("text", "_toxic", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int").alias("_half"))
+    small_batches(df.sparkSession)
     rows = rows.persist()
     names = ["c00", "c01", "c10", "c11"]  # by half and class
 
@@ -216,14 +216,14 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     gram, c00, c01, c10, c11 = (found.column(c).to_numpy() for c in ["gram", *names])
     del found
 
-    def judged(half: int, model: Model) -> pd.DataFrame:
+    def judged(half: int, model: Model) -> pa.Table:
         """Features of the rows of one half, as a model of the other sees them."""
 
         def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, texts in slices(batches, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("_toxic"), *[pa.array(c) for c in model.features(texts).T]], names=["toxic", *[f"f{i}" for i in range(FEATURES)]])
 
-        return rows.where(F.col("_half") == half).mapInArrow(judge, "toxic int, " + ", ".join(f"f{i} double" for i in range(FEATURES))).toArrow().to_pandas()
+        return rows.where(F.col("_half") == half).mapInArrow(judge, "toxic int, " + ", ".join(f"f{i} double" for i in range(FEATURES))).toArrow()
 
     # Each half is judged by the model that was counted on the other one; one model at
     # a time is in memory.
@@ -232,9 +232,9 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         own = o + t > 0
         seen.append(judged(half, Model.fit(table, gram[own], o[own], t[own])))
     rows.unpersist()
-    x = pd.concat(seen)
+    x = pa.concat_tables(seen)
     model = Model.fit(table, gram, c00 + c10, c01 + c11)
-    model.calibrate(x.drop(columns="toxic").to_numpy(float), x.toxic.to_numpy(float))
+    model.calibrate(np.column_stack([x.column(f"f{i}").to_numpy() for i in range(FEATURES)]), x.column("toxic").to_numpy().astype(float))
     return model
 
 
