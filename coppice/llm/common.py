@@ -178,7 +178,7 @@ class Words:
     """Values by word, bounded in bytes: of two generations the older is dropped when
     the younger is full. What a run of texts asks for stays at hand until the next."""
 
-    def __init__(self, room: int = 40 << 20, value_bytes: int = 32):
+    def __init__(self, room: int = 24 << 20, value_bytes: int = 32):
         self.room, self.value_bytes = room // 2, value_bytes + 140
         self.young: dict = {}
         self.old: dict = {}
