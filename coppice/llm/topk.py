@@ -1,10 +1,11 @@
 """Exact top-k inner products: a ball tree per shard, searched best bound first.
 
-Vectors are dealt by a hash of their id to shards of bounded size, queries to
-blocks of bounded size. Each (shard, block) pair is one task that builds the
-shard's tree and searches it for the block's queries. Every query is first
-searched in one shard; the k-th score found there goes along to all other
-shards, where a node whose bound stays below it is never opened.
+Vectors are dealt by a hash to shards of bounded size. Queries visit the shards in
+waves, each four times as wide as all before: first one shard, then three more, then
+twelve. The k-th score found so far goes along into the next wave, where a node whose
+bound stays below it is never opened. In a wave a task builds one shard's tree and
+searches it for at most ``block`` queries, so a shard is copied only as often as the
+queries that ask it in that wave need tasks (or idle cores are there for it).
 """
 
 from __future__ import annotations
@@ -78,14 +79,18 @@ class BallTree:
                 s = np.array([min(max(sum(int(u) * int(v) for u, v in zip(row, query)), -_LONG - 1), _LONG) for row in self.vectors[a:b]], np.int64)
             i = self.ids[a:b]
             good = (i != own) & (s >= kth)
-            ids, scores = np.r_[ids, i[good]], np.r_[scores, s[good]]
-            if len(ids) > k:
-                best = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[best], scores[best]
+            if good.any():
+                ids, scores = _leaders(np.r_[ids, i[good]], np.r_[scores, s[good]], k)
             if len(ids) == k:
-                kth = max(kth, float(scores.min()))
-        best = np.lexsort((ids, -scores))[:k]
-        return ids[best], scores[best]
+                kth = max(kth, float(scores[-1]))
+        return ids, scores
+
+
+def _leaders(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best ids, each with its greatest score, ties to the smaller id."""
+    order = np.lexsort((ids, ~scores))  # ~ turns the order of longs round, -2^63 too
+    first = np.sort(np.unique(ids[order], return_index=True)[1])[:k]
+    return ids[order[first]], scores[order[first]]
 
 
 def _task(k: int):
@@ -119,7 +124,14 @@ def integer_vectors(df: DataFrame, vec_id: str, vector: str, scale: int) -> Data
     return df.where(F.col(f"`{vec_id}`").isNotNull() & x.isNotNull()).where(fine).select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale)).alias("v"))
 
 
-def top_k(df: DataFrame, query_every: int = 100, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 1024, block: int = 4096, components: int = 1 << 21) -> DataFrame:
+def _lanes(asked: int, shards: int, block: int, cores: int) -> int:
+    """Tasks that share a shard's queries in a wave: as many as ``block`` demands, or
+    as keep all cores busy, each with 64 queries at least."""
+    each = -(-asked // shards)
+    return max(1, -(-each // block), min(-(-cores // shards), each // 64))
+
+
+def top_k(df: DataFrame, query_every: int = 100, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 1024, block: int = 1 << 14, components: int = 1 << 21) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` highest inner products of every row
     whose id is divisible by ``query_every`` with all rows of other ids.
 
@@ -128,30 +140,36 @@ def top_k(df: DataFrame, query_every: int = 100, k: int = 10, vec_id: str = "vec
     with those of their own length. Of rows that repeat a query's id the greatest
     vector asks; as candidates, repeated ids count with their greatest score.
     Products beyond a long are held at its end. An empty table gives no rows.
-    ``components``: numbers in a shard, which with ``block`` bounds a task.
+    ``components``: numbers in a shard, which with ``block`` bounds a task. Equal rows
+    are one, and a shard is dealt by id and vector, so no id gathers in one task.
     """
-    vectors = materialise(integer_vectors(df, vec_id, vector, scale), "vectors")
+    vectors = materialise(integer_vectors(df, vec_id, vector, scale).distinct(), "vectors")
     n, width = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
     shards = max(1, -(-n // max(256, components // max(width or 1, 1))))
+    points = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)))
     queries = vectors.where(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.max("v").alias("v"))
     queries = materialise(queries.withColumn("home", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(shards))), "queries")
-    blocks = max(1, -(-queries.count() // block))
-    points = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(blocks)).cast("int"))
+    total, cores = queries.count(), df.sparkSession.sparkContext.defaultParallelism
 
-    def search(asked: DataFrame) -> DataFrame:
-        return points.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(_task(k), "query_id long, vec_id long, score long")
+    def search(asked: DataFrame, first: int, end: int) -> DataFrame:
+        """Of the shards that follow its home, a query asks those from ``first`` to ``end``."""
+        lanes = _lanes(total * (end - first), shards, block, cores)
+        turn = F.explode(F.sequence(F.lit(first).cast("long"), F.lit(end - 1).cast("long")))
+        asked = asked.withColumn("turn", turn).withColumn("shard", F.pmod(F.col("home") + F.col("turn"), F.lit(shards)))
+        asked = asked.withColumn("lane", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(lanes)).cast("int"))
+        copies = points.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+        return copies.groupBy("shard", "lane").cogroup(asked.groupBy("shard", "lane")).applyInPandas(_task(k), "query_id long, vec_id long, score long")
 
     def best(found: DataFrame) -> DataFrame:
         single = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return single.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    found = search(queries.withColumn("shard", F.col("home")).withColumn("least", F.lit(None).cast("double")))
-    if shards > 1:
-        found = materialise(found, "home")
-        kth = best(found).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).cast("double").alias("least"))
+    found = best(search(queries.withColumn("least", F.lit(None).cast("double")), 0, 1))
+    first = 1
+    while first < shards:
+        found, end = materialise(found, "found"), min(shards, 4 * first)
+        kth = found.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).cast("double").alias("least"))
         asked = queries.join(kth, queries.vec_id == kth.query_id, "left").drop("query_id")
-        asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).where("shard <> home")
-        found = found.unionByName(search(asked))
-    return best(found)
+        found, first = best(found.drop("rank").unionByName(search(asked, first, end))), end
+    return found

@@ -73,6 +73,40 @@ def test_topk_over_shards_and_odd_vectors(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_topk_of_repeated_ids_and_copies_in_many_waves(spark):
+    rng = random.Random(7)
+    vector = lambda: tuple(rng.choice([-1.0, -0.5, 0.0, 0.5, 1.0]) for _ in range(4))
+    rows = [(i, vector()) for i in range(3000)] + [(7, vector()) for _ in range(300)] + [(50, vector()) for _ in range(300)]
+    rows += [(i, (1.0, 1.0, 1.0, 1.0)) for i in range(3000, 4500)] + [(9, (1.0, 0.5, 1.0, 1.0))] * 300
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = defaultdict(list)
+    for r in topk.top_k(df, query_every=50, k=4, block=8, components=1024).orderBy("query_id", "rank").collect():
+        assert r["rank"] == len(got[r.query_id]) + 1
+        got[r.query_id].append((r.vec_id, r.score))
+    whole = defaultdict(set)
+    for i, v in rows:
+        whole[i].add(tuple(math.floor(1024 * x) for x in v))
+    for q in range(0, 4500, 50):
+        v = max(whole[q])
+        best = sorted((-max(sum(a * b for a, b in zip(v, w)) for w in vs), i) for i, vs in whole.items() if i != q)[:4]
+        assert got[q] == [(i, -s) for s, i in best]
+
+
+def test_topk_of_products_near_the_end_of_a_long(spark):
+    rows = [(0, [2.0**31, 1.0]), (1, [2.0**31, 1.0]), (2, [2.0**31, 2.0]), (3, [-(2.0**31), 0.0]), (4, [2.0**40, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = topk.top_k(df, query_every=5, k=4, scale=1).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in found] == [(4, 2**63 - 1), (2, 2**62 + 2), (1, 2**62 + 1), (3, -(2**62))]
+
+
+def test_lanes_copy_a_shard_only_as_queries_need():
+    assert topk._lanes(0, 1, 16384, 8) == 1
+    assert topk._lanes(10_000_000, 30_000, 16384, 1000) == 1
+    assert topk._lanes(3 * 10_000_000, 30_000, 16384, 1000) == 1
+    assert topk._lanes(513, 2, 16384, 6) == 3
+    assert topk._lanes(1_000_000, 2, 16384, 6) == 31
+
+
 def test_resampling_prefers_the_target(spark):
     good, bad = ["the cat sat on the mat"], ["!!! ### buy now"]
     df = spark.createDataFrame([(i, (good if i < 60 else bad)[0] * (1 + i % 3)) for i in range(100)] + [(200, None), (201, "")], "doc_id long, text string")
@@ -86,6 +120,29 @@ def test_resampling_prefers_the_target(spark):
     assert resample.kth_largest(values, "v", 1000) == sorted((float(i % 7919) for i in range(60_000)), reverse=True)[999]
 
 
+def test_resampling_by_brute_force(spark, monkeypatch):
+    """Weights, noise and cut from plain counts of words, with word ids for buckets."""
+    monkeypatch.setattr(resample, "_RUN", 64)
+    rng, words = random.Random(2), ["red", "green", "blue", "cyan", "grey"]
+    texts = {i: " ".join(rng.choices(words[: 3 + i % 3], k=rng.randrange(0, 12))) for i in range(80)} | {80: None, 81: "", 82: "red " * 500}
+    good, buckets, smoothing = set(range(0, 80, 3)), 1 << 14, 0.5
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in good] + [(None,)], "doc_id long")
+    grams = {i: Counter(w := (t or "").split()) + Counter(zip(w, w[1:])) for i, t in texts.items()}
+    raw, target = Counter(), Counter()
+    for i, g in grams.items():
+        raw.update(g)
+        target.update(g if i in good else {})
+    share = lambda c, g: math.log((c[g] + smoothing) / (sum(c.values()) + smoothing * buckets))
+    weight = {i: sum(n * (share(target, g) - share(raw, g)) for g, n in c.items()) if c else None for i, c in grams.items()}
+    out = {r.doc_id: r for r in resample.resample(df, ids, k=20, buckets=buckets, smoothing=smoothing).collect()}
+    noise = {r.doc_id: r.u for r in df.select("doc_id", (resample.hashed_unit(df.doc_id, resample.F.lit(1)) + 2.0**-53).alias("u")).collect()}
+    key = {i: w - math.log(-math.log(noise[i])) for i, w in weight.items() if w is not None}
+    for i, w in weight.items():
+        assert (out[i].log_weight is None) if w is None else out[i].log_weight == pytest.approx(w)
+    assert {i for i, r in out.items() if r.kept} == set(sorted(key, key=key.get, reverse=True)[:20])
+
+
 def test_rules_by_brute_force(spark):
     texts = ODD + ["a b c a b c d", "a a a a a", "l1 x\nl1 x\nl2\n \n", "A B C D " * 20, "#$%& " * 60]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, kept string")
