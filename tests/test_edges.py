@@ -13,7 +13,7 @@ from coppice.params import Params
 from coppice.plans import train as plan
 
 #: Their edges of the price differ if they are taken from every second row.
-CHOSEN = ["split_missing_dir"]
+CHOSEN = ["split_missing_dir", "bin_edges_nearest_rank"]
 
 
 @pytest.fixture(scope="module")
