@@ -30,6 +30,15 @@ def test_edges_of_every_row(spark):
     assert data.edges == [[0.0, 1.0, 1.0]]
 
 
+def test_missing_values_in_step_with_rows(spark):
+    """Every fifth value is missing, as the price is in every fifth order: a sample of
+    every fifth row had no value at all."""
+    k = F.col("id")
+    df = spark.range(1_000_000).select(k.alias("rid"), F.when(k % 5 != 0, (k % 2).cast("double")).alias("x"), (k % 2).cast("double").alias("label"))
+    forest, _ = plan.train(df, ["x"], "label", Params(max_bin=5, n_estimators=1, max_depth=1), rid="rid")
+    assert forest.trees[0].feature[0] == 0 and forest.trees[0].threshold[0] == 0.0
+
+
 def test_ranks_over_several_ranges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(float(i * 37 % 101), [nan, None, -inf, inf, float(i)][i % 5], float(i % 2), None) for i in range(1000)]
