@@ -13,7 +13,7 @@ from coppice.params import Params
 from coppice.plans import train as plan
 
 #: Their edges of the price differ if they are taken from every second row.
-CHOSEN = ["split_missing_dir", "bin_edges_nearest_rank", "bin_assign_missing", "bin_dataset", "bundle_round_trip", "split_masked", "split_monotone", "train_multiclass_round", "hist_level2", "hist_root", "hist_subtract"]
+CHOSEN = ["split_missing_dir", "bin_edges_nearest_rank", "bin_assign_missing", "bin_dataset", "bundle_round_trip", "split_masked", "split_monotone", "train_multiclass_round", "warm_start", "hist_level2", "hist_root", "hist_subtract"]
 
 
 @pytest.fixture(scope="module")
